@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import dims
 from plumbline.functions import text as t
-from plumbline.operators.gates import rejection_reason, severity_rank
+from plumbline.operators.gates import severity_rank, with_rejection
 from plumbline.operators.scan import spread_join
 from plumbline.schemas import RUN
 
@@ -28,9 +28,10 @@ def mechanism_shape(findings: DataFrame) -> DataFrame:
 def strictest(p: Column, order: Column) -> list[Column]:
     """Aggregates that pick the most informative prediction of a group; read with ``strictest_of``.
 
-    All are mergeable maxima, so a hot construct is reduced before it is shuffled.
+    Rows come from ``with_rejection``. All are mergeable maxima, so a hot construct is reduced before
+    it is shuffled.
     """
-    ok = rejection_reason(p).isNull()
+    ok = F.col("reject_reason").isNull()
     width = F.coalesce(F.nullif(p["upper"], F.lit(0.0)), p["value"]) - p["value"]
     out = []
     for tag, chosen in (("valid", p.isNotNull() & ok), ("any", p.isNotNull())):
@@ -63,7 +64,8 @@ def strictest_of() -> Column:
 def strictest_prediction(drafts: DataFrame, by: Sequence[str]) -> DataFrame:
     """One prediction per group: larger for at_least, smaller for at_most, narrowest for between."""
     return (
-        drafts.groupBy(*by)
+        with_rejection(drafts)
+        .groupBy(*by)
         .agg(*strictest(F.col("prediction"), F.col("ord")))
         .withColumn("prediction", strictest_of())
         .drop(*STRICTEST_PARTS)
@@ -92,7 +94,7 @@ def reconcile(drafts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     def longest(c: str) -> Column:
         return F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -order)).alias(c)
 
-    merged = placed.groupBy(*group).agg(
+    merged = with_rejection(placed).groupBy(*group).agg(
         F.count(F.lit(1)).alias("_size"),
         F.min("ord").alias("ord"),
         F.min("line").alias("line"),

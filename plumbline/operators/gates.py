@@ -123,15 +123,28 @@ def redact_secrets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # -- predictions ----------------------------------------------------------------------------
 
 
-def rejection_reason(p: Column) -> Column:
-    """Why a prediction struct cannot be refuted by any measurement; null when it can."""
+def with_rejection(drafts: DataFrame) -> DataFrame:
+    """``drafts`` plus ``reject_reason``: why no measurement could refute the prediction; null when one can.
+
+    Bounds come from a broadcast join with the table of units (13 fixed rows). A join also keeps the
+    optimiser from inlining the lookup into every later use of the verdict.
+    """
+    units = F.broadcast(dims.units(drafts.sparkSession))
+    unit = F.lower(F.trim(F.coalesce(F.col("prediction.unit"), F.lit(""))))
+    bounded = drafts.withColumn("_unit_key", unit).join(units, "_unit_key", "left")
+    low, high = dims.UNKNOWN_UNIT
+    bound = {
+        "low": F.coalesce("_low", F.lit(low)),
+        "high": F.coalesce("_high", F.lit(high)),
+        "low_text": F.coalesce("_low_text", F.lit(f"{low:g}")),
+        "high_text": F.coalesce("_high_text", F.lit(f"{high:g}")),
+    }
+    return bounded.withColumn("reject_reason", _rejection(F.col("prediction"), bound)).select(*drafts.columns, "reject_reason")
+
+
+def _rejection(p: Column, bound: dict[str, Column]) -> Column:
     metric, comparator = p["metric"], p["comparator"]
     value, upper, unit, condition = p["value"], p["upper"], p["unit"], p["condition"]
-    low_unit = F.lower(F.trim(unit))
-
-    def bound(i: int) -> Column:
-        table = F.create_map(*[F.lit(x) for u, r in dims.UNIT_RANGES.items() for x in (u, r[i])])
-        return F.coalesce(F.try_element_at(table, low_unit), F.lit(dims.UNKNOWN_UNIT[i]))
 
     def unusable(x: Column) -> Column:
         return F.isnan(x) | (F.abs(x) == float("inf"))
@@ -148,22 +161,22 @@ def rejection_reason(p: Column) -> Column:
     )
     shape = (
         F.when(
-            (comparator == "at_least") & (value <= bound(0)),
+            (comparator == "at_least") & (value <= bound["low"]),
             F.concat(
                 F.lit("vacuous: essentially every measurement in "),
                 unit,
                 F.lit(" is at least "),
-                t.short_number(bound(0)),
+                bound["low_text"],
                 F.lit(", so this threshold excludes nothing"),
             ),
         )
         .when(
-            (comparator == "at_most") & (value >= bound(1)),
+            (comparator == "at_most") & (value >= bound["high"]),
             F.concat(
                 F.lit("vacuous: no realisable measurement in "),
                 unit,
                 F.lit(" exceeds "),
-                t.short_number(bound(1)),
+                bound["high_text"],
                 F.lit(", so this threshold excludes nothing"),
             ),
         )
@@ -186,7 +199,7 @@ def rejection_reason(p: Column) -> Column:
 
 def falsifiability_gate(drafts: DataFrame) -> DataFrame:
     """``drafts`` with ``reject_reason`` and the prediction nulled where it was rejected."""
-    judged = drafts.withColumn("reject_reason", rejection_reason(F.col("prediction")))
+    judged = with_rejection(drafts)
     return judged.withColumn(
         "prediction", F.when(F.col("reject_reason").isNull(), F.col("prediction")).cast(PREDICTION)
     )

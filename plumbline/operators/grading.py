@@ -21,35 +21,27 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), F.nullif(bottom, F.lit(0)).cast("double"))
 
 
+def experiment_unit() -> Column:
+    """What settled a finding: its experiment, or (metric, condition, value) where none is named."""
+    p = F.col("prediction")
+    named = F.nullif(F.col("measurement.experiment"), F.lit(""))
+    unnamed = named.isNull()
+    return F.struct(
+        named.alias("experiment"),
+        F.when(unnamed, p["metric"]).alias("metric"),
+        F.when(unnamed, p["condition"]).alias("condition"),
+        F.when(unnamed, p["value"]).alias("value"),
+    )
+
+
 def experiment_outcomes(graded: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """(keys, hits, runs): one unit per experiment, a hit only when every claim it settled held."""
-    tested = graded.filter("was_tested")
-    p, m = F.col("prediction"), F.col("measurement")
-    named = F.nullif(m["experiment"], F.lit(""))
-    unit = F.when(
-        named.isNotNull(),
-        F.struct(
-            named.alias("experiment"),
-            F.lit(None).cast("string").alias("metric"),
-            F.lit(None).cast("string").alias("condition"),
-            F.lit(None).cast("double").alias("value"),
-        ),
-    ).otherwise(
-        F.struct(
-            F.lit(None).cast("string").alias("experiment"),
-            p["metric"].alias("metric"),
-            p["condition"].alias("condition"),
-            p["value"].alias("value"),
-        )
-    )
     per_unit = (
-        tested.withColumn("_unit", unit)
-        .groupBy(*keys, "_unit")
+        graded.filter("was_tested")
+        .groupBy(*keys, experiment_unit().alias("_unit"))
         .agg(F.bool_and(F.col("verdict") == "hit").alias("_held"))
     )
-    return per_unit.groupBy(*keys).agg(
-        F.count_if("_held").alias("hits"), F.count(F.lit(1)).alias("runs")
-    )
+    return per_unit.groupBy(*keys).agg(F.count_if("_held").alias("hits"), F.count(F.lit(1)).alias("runs"))
 
 
 def score_reports(
@@ -57,56 +49,59 @@ def score_reports(
 ) -> DataFrame:
     """One row per report. ``reports`` carries keys, model_id, seeded, found, failed, usd, seconds.
 
-    Rows are counted per (path, symbol) before the anti-join, so one hot construct is one row of it.
+    Findings and drops go through one pass: each row counts once for its construct and, if tested,
+    once for its experiment, and both are reduced on the map side. A drop whose construct was kept
+    then shows as a construct with findings, so no join is needed to leave it out.
     """
     keys = list(keys)
-    graded = grade(findings)
-    per_site = graded.groupBy(*keys, "path", "symbol").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("is_falsifiable").alias("falsifiable"),
-        F.count_if("was_tested").alias("tested_findings"),
-        F.count_if(F.col("verdict") == "broken").alias("broken"),
-    )
-    totals = per_site.groupBy(*keys).agg(
-        F.sum("n").alias("total_findings"),
-        F.sum("falsifiable").alias("falsifiable"),
-        F.sum("tested_findings").alias("tested_findings"),
-        F.sum("broken").alias("broken"),
-    )
-    dropped_sites = dropped.groupBy(*keys, "path", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    marked = dropped_sites.join(
-        per_site.select(*keys, "path", "symbol", F.lit(True).alias("_kept")), [*keys, "path", "symbol"], "left"
-    )
-    drops = marked.groupBy(*keys).agg(
-        F.sum("n").alias("dropped"),
-        F.sum(F.when(F.col("_kept").isNull(), F.col("n")).otherwise(0)).alias("discarded"),
-    )
-    joined = (
-        reports.join(totals, keys, "left")
-        .join(drops, keys, "left")
-        .join(experiment_outcomes(graded, keys), keys, "left")
-        .na.fill(
-            0,
-            [
-                "total_findings",
-                "falsifiable",
-                "tested_findings",
-                "broken",
-                "dropped",
-                "discarded",
-                "hits",
-                "runs",
-            ],
-        )
-    )
-    seen = F.col("total_findings") + F.col("discarded")
+    one = F.lit(1).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    site = F.struct("path", "symbol")
+    rows = grade(findings).select(
+        *keys,
+        site.alias("_site"),
+        F.when(F.col("was_tested"), experiment_unit()).alias("_unit"),
+        one.alias("n"),
+        F.col("is_falsifiable").cast("bigint").alias("falsifiable"),
+        F.col("was_tested").cast("bigint").alias("tested_findings"),
+        F.coalesce(F.col("verdict") == "broken", F.lit(False)).cast("bigint").alias("broken"),
+        (F.col("verdict") == "hit").alias("held"),
+        none.alias("dropped"),
+    )
+    gone = dropped.select(
+        *keys,
+        site.alias("_site"),
+        *[none.alias(c) for c in ("n", "falsifiable", "tested_findings", "broken")],
+        one.alias("dropped"),
+    )
+    counts = ["n", "falsifiable", "tested_findings", "broken", "dropped"]
+    ways = F.array(
+        F.struct(F.col("_site").alias("site"), F.when(F.lit(False), F.col("_unit")).alias("unit")),
+        F.struct(F.when(F.lit(False), F.col("_site")).alias("site"), F.col("_unit").alias("unit")),
+    )
+    per = (
+        rows.unionByName(gone, allowMissingColumns=True)
+        .withColumn("_way", F.explode(ways))
+        .filter("_way.site is not null or _way.unit is not null")
+        .groupBy(*keys, "_way")
+        .agg(*[F.sum(c).alias(c) for c in counts], F.bool_and("held").alias("held"))
+    )
+    at_site = F.col("_way.site").isNotNull()
+    totals = per.groupBy(*keys).agg(
+        *[F.sum(F.when(at_site, F.col(c)).otherwise(0)).alias(c) for c in counts],
+        F.sum(F.when(at_site & (F.col("n") == 0), F.col("dropped")).otherwise(0)).alias("discarded"),
+        F.count_if(~at_site).alias("runs"),
+        F.count_if(~at_site & F.col("held")).alias("hits"),
+    )
+    joined = reports.join(totals, keys, "left").na.fill(0, [*counts, "discarded", "runs", "hits"])
+    seen = F.col("n") + F.col("discarded")
     return joined.select(
         *keys,
         "model_id",
         "seeded",
         "found",
         "failed",
-        "total_findings",
+        F.col("n").alias("total_findings"),
         "tested_findings",
         seen.alias("observations"),
         "falsifiable",
@@ -234,6 +229,11 @@ METRIC_ROWS = (
 )
 
 
+def _even(value: Column, fmt: str) -> Column:
+    """Ties to the even digit before printing, as the printed tables round."""
+    return value if fmt == "%d" else F.bround(value, int(fmt[2]))
+
+
 def arm_comparison(sweeps: DataFrame, arms: Sequence[str]) -> DataFrame:
     """Metric rows by arm columns, ``n/a`` where there is no number."""
     cells = [
@@ -241,7 +241,7 @@ def arm_comparison(sweeps: DataFrame, arms: Sequence[str]) -> DataFrame:
             F.lit(i).alias("ord"),
             F.lit(label).alias("metric"),
             F.coalesce(
-                F.when(F.col(c).isNotNull(), F.format_string(fmt, F.col(c))), F.lit("n/a")
+                F.when(F.col(c).isNotNull(), F.format_string(fmt, _even(F.col(c), fmt))), F.lit("n/a")
             ).alias("said"),
         )
         for i, (label, c, fmt) in enumerate(METRIC_ROWS)

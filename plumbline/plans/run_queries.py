@@ -1,0 +1 @@
+"""Bound queries."""
