@@ -113,7 +113,7 @@ def started_module(command: Column) -> Column:
         .when(runner.isin(*dims.SERVER_RUNNERS), positional)
         .when(runner.startswith("python") | runner.isin("node", "ruby", "deno", "bun"), scripted)
     )
-    stem = F.trim(F.lit("/"), F.replace(F.element_at(F.split(ref, ":"), 1), F.lit("."), F.lit("/")))
+    stem = F.trim(F.replace(F.element_at(F.split(ref, ":"), 1), F.lit("."), F.lit("/")), F.lit("/"))
     return F.nullif(stem, F.lit(""))
 
 
@@ -147,7 +147,7 @@ def declared_entrypoints(services: DataFrame) -> DataFrame:
 
 def service_for_scope(services: DataFrame, scopes: DataFrame) -> DataFrame:
     """(repo_id, scope, service, refused). ``scopes`` is (repo_id, scope); the scope's own prefixes are the key."""
-    clean = F.trim(F.lit("/"), F.col("scope"))
+    clean = F.trim(F.col("scope"), F.lit("/"))
     parts = F.split(clean, "/")
     roots = F.concat(
         F.array(F.lit("")),
@@ -155,7 +155,7 @@ def service_for_scope(services: DataFrame, scopes: DataFrame) -> DataFrame:
     )
     asked = scopes.select("repo_id", "scope", F.explode(F.array_distinct(roots)).alias("root"))
     built = services.select(
-        "repo_id", "name", "ord", (F.size("ports") > 0).alias("serving"), F.trim(F.lit("/"), F.coalesce("source_root", F.lit(""))).alias("root")
+        "repo_id", "name", "ord", (F.size("ports") > 0).alias("serving"), F.trim(F.coalesce("source_root", F.lit("")), F.lit("/")).alias("root")
     )
     plain = F.col("name").rlike(r"^[A-Za-z0-9._][A-Za-z0-9._-]*$")
     best = spread_join(built, asked, ["repo_id", "root"]).groupBy("repo_id", "scope").agg(

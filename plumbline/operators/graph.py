@@ -66,7 +66,7 @@ def entrypoints_of(modules: DataFrame, declared: DataFrame | None = None) -> Dat
         return signalled
     named = (
         modules.select("repo_id", "path", t.without_extension(F.col("path")).alias("ref"))
-        .join(declared.select("repo_id", F.trim(F.lit("/"), F.col("ref")).alias("ref")), ["repo_id", "ref"], "left_semi")
+        .join(declared.select("repo_id", F.trim(F.col("ref"), F.lit("/")).alias("ref")), ["repo_id", "ref"], "left_semi")
         .select("repo_id", "path")
     )
     return signalled.unionByName(named).distinct()

@@ -163,7 +163,7 @@ FROM {documents}
 """,
     "events_flat": f"""
 SELECT concat('u', cast(user_id AS string)) AS run_id, event_id, ts,
-  unix_millis(ts) - 1704067200000 - 900000 * (cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) % 2) AS offset_ms,
+  MILLIS(ts) - 1704067200000 - 900000 * (cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) % 2) AS offset_ms,
   cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS k, value,
   {_case('(event_id * 7 + cast(regexp_extract(props, ' + "'([0-9]+)'" + ', 1) AS bigint)) % 20', EVENT_CYCLE)} AS event
 FROM {{events}}
@@ -231,7 +231,7 @@ def _needs(sql: str) -> list[str]:
 
 @cache
 def _duck(name: str) -> str:
-    sql = VIEWS[name].replace("unix_millis(", "epoch_ms(")
+    sql = VIEWS[name].replace("MILLIS(", "epoch_ms(")
     for n in _needs(sql):
         sql = sql.replace("{" + n + "}", n)
     return f"{name} AS ({sql.replace('{{', '{').replace('}}', '}').strip()})"
@@ -260,7 +260,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf, name)
-    return spark.sql(VIEWS[name], **{n: view(spark, sf, n) for n in _needs(VIEWS[name])})
+    # zone-free timestamps count from a zone-free epoch, so the session's time zone does not matter
+    zero = "timestamp_ntz '1970-01-01 00:00:00'"
+    sql = VIEWS[name].replace("MILLIS(ts)", f"(unix_millis(cast(ts AS timestamp)) - unix_millis(cast({zero} AS timestamp)))")
+    return spark.sql(sql, **{n: view(spark, sf, n) for n in _needs(VIEWS[name])})
 
 
 # -- Spark shapes ----------------------------------------------------------------------------------
@@ -329,7 +332,7 @@ def services(spark: SparkSession, sf: str) -> DataFrame:
 def numbered_events(spark: SparkSession, sf: str) -> DataFrame:
     """``events_flat`` with seq 1..n per run, counted over daily slices."""
     flat = view(spark, sf, "events_flat")
-    day = F.floor(F.unix_millis("ts") / 86_400_000)
+    day = F.datediff("ts", F.lit("2024-01-01"))
     return numbered(flat, ["run_id"], [F.col("ts"), F.col("event_id")], day, "seq")
 
 

@@ -62,22 +62,26 @@ RECORDING = (
 )
 
 
-def scan_recordings(spark: SparkSession, directory: str) -> DataFrame:
-    """(key, kind, findings, specialists, reasoning, observations), the key being the file name."""
+def scan_recordings(spark: SparkSession, directory: str, key_from: str = "file") -> DataFrame:
+    """(key, kind, findings, specialists, reasoning, observations).
+
+    The key is the file's name, or with ``key_from="folder"`` the ``key=`` folder it lies in.
+    """
     raw = (
         spark.read.schema(RECORDING)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(directory)
-        .select("*", F.col("_metadata.file_name").alias("_file"))
+        .select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"))
     )
+    key = F.regexp_replace("_file", r"\.json$", "") if key_from == "file" else F.regexp_extract("_path", "/key=([^/]+)/", 1)
     kind = (
         F.when(F.col("findings").isNotNull(), "findings")
         .when(F.col("specialists").isNotNull(), "routing")
         .when(F.col("observations").isNotNull(), "observations")
     )
-    return raw.select(F.regexp_replace("_file", r"\.json$", "").alias("key"), kind.alias("kind"), *[c for c in raw.columns if c != "_file"]).filter(
+    return raw.select(key.alias("key"), kind.alias("kind"), *[c for c in raw.columns if c not in ("_file", "_path")]).filter(
         "kind is not null"
     )
 
