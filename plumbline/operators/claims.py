@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,65 +158,77 @@ def _head(
 # -- collapsing repeats -------------------------------------------------------------------------
 
 
-def collapse_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): one sentence about three or more files becomes one finding naming five of them."""
+def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """``findings`` with ``side`` (kept or dropped) and ``reason``, survivors naming where else they were seen.
+
+    One sentence about three or more files becomes one finding: the worst, earliest one.
+    """
     keys = list(keys)
     group = [*keys, "layer", "_shape"]
-    shaped = findings.withColumn("_shape", t.mechanism_shape(F.col("mechanism")))
-    comparable = t.word_count(F.col("_shape")) >= ENOUGH_WORDS
+    words = F.regexp_extract_all(
+        F.regexp_replace(F.lower("mechanism"), dims.SPECIFICS, " "), F.lit("([a-z]+)"), 1
+    )
+    shaped = (
+        findings.withColumn("_words", words)
+        .withColumn("_shape", F.when(F.size("_words") >= ENOUGH_WORDS, F.array_join("_words", " ")))
+        .drop("_words")
+    )
     rank = F.struct(
         (-severity_rank(F.col("severity"))).alias("s"), F.col("path").alias("p"), F.col("ord").alias("o")
     )
-    per_file = shaped.filter(comparable).groupBy(*group, "path").agg(F.min(rank).alias("_best"))
-    counted = (
+    per_file = shaped.filter("_shape is not null").groupBy(*group, "path").agg(F.min(rank).alias("_best"))
+    # Seven earliest paths are enough to name five others and to know there are more. Both branches
+    # read the same columns of per_file, so its shuffle is written once and read twice.
+    order = Window.partitionBy(*group).orderBy("path")
+    first = (
+        per_file.withColumn("_r", F.row_number().over(order))
+        .filter(F.col("_r") <= 7)
+        .groupBy(*group)
+        .agg(F.array_sort(F.collect_list(F.struct("path", "_best"))).alias("_paths"))
+    )
+    systemic = (
         per_file.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_files"), F.min("_best").alias("_best"))
         .filter(F.col("_files") >= SYSTEMIC_FILES)
+        .join(first, group)
     )
-    # Seven earliest paths are enough to name five others and to know there are more.
-    first = per_file.withColumn(
-        "_r", F.row_number().over(Window.partitionBy(*group).orderBy("path"))
-    ).filter(F.col("_r") <= 7)
-    named = first.groupBy(*group).agg(F.array_sort(F.collect_list("path")).alias("_paths"))
-    systemic = counted.join(named, group)
     joined = spread_join(shaped, systemic, group, "left")
-    others = F.filter("_paths", lambda x: x != F.col("_best.p"))
+    merged = F.col("_files").isNotNull()
+    survivor = merged & (F.col("ord") == F.col("_best.o"))
+    files = F.col("_files").cast("string")
+    others = F.filter(F.transform("_paths", lambda x: x["path"]), lambda p: p != F.col("_best.p"))
     shown = F.concat(
         F.array_join(F.slice(others, 1, 5), ", "),
         F.when(F.col("_files") - 1 > 5, F.lit(", ...")).otherwise(F.lit("")),
     )
-    merged = F.col("_files").isNotNull() & comparable
-    survivor = merged & (F.col("ord") == F.col("_best.o"))
-    kept = (
-        joined.filter(~F.coalesce(merged, F.lit(False)) | survivor)
-        .withColumn(
-            "mechanism",
-            F.when(
-                survivor,
-                F.concat(
-                    "mechanism",
-                    F.lit(" Seen in "),
-                    F.col("_files").cast("string"),
-                    F.lit(" files, so this is a property of the service rather than of one handler. Also at: "),
-                    shown,
-                ),
-            ).otherwise(F.col("mechanism")),
-        )
-        .select(*findings.columns)
-    )
-    dropped = joined.filter(merged & ~survivor).select(
-        *keys,
-        "path",
-        "symbol",
-        F.concat(
-            F.lit("collapsed into the same finding at "),
-            F.col("_best.p"),
-            F.lit(": the same mechanism in "),
-            F.col("_files").cast("string"),
-            F.lit(" files is one property of the service"),
-        ).alias("reason"),
+    seen = F.concat(
+        F.col("mechanism"),
+        F.lit(" Seen in "),
+        files,
+        F.lit(" files, so this is a property of the service rather than of one handler. Also at: "),
+        shown,
+    )
+    reason = F.concat(
+        F.lit("collapsed into the same finding at "),
+        F.col("_best.p"),
+        F.lit(": the same mechanism in "),
+        files,
+        F.lit(" files is one property of the service"),
+    )
+    dropped = merged & ~survivor
+    return (
+        joined.withColumn("side", F.when(dropped, F.lit("dropped")).otherwise(F.lit("kept")))
+        .withColumn("reason", F.when(dropped, reason))
+        .withColumn("mechanism", F.when(survivor, seen).otherwise(F.col("mechanism")))
+        .select(*findings.columns, "side", "reason")
     )
-    return kept, dropped
+
+
+def collapse_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of ``mark_repeats``."""
+    marked = mark_repeats(findings, keys)
+    kept = marked.filter("side = 'kept'").drop("side", "reason")
+    return kept, marked.filter("side = 'dropped'").select(*keys, "path", "symbol", "reason")
 
 
 # -- claims the repository answers -----------------------------------------------------------------
@@ -319,52 +332,34 @@ def locate_symbols(findings: DataFrame, definitions: DataFrame) -> DataFrame:
 # -- pressures ---------------------------------------------------------------------------------------
 
 
-def _pressure_phrases() -> Column:
-    """One literal array of (rule, mechanism, layers, phrase), in resolution order."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.array(*[F.lit(x) for x in dims.owners(concerns)]).alias("layers"),
-                F.lit(phrase).alias("phrase"),
-            )
-            for i, (_, concerns, phrases) in enumerate(dims.PRESSURE_RULES)
-            for phrase in phrases.split("|")
-        ]
-    )
+def _pressure_rule(layer: Column, said: Column) -> Column:
+    """Number of the first rule that accepts a sentence of a layer, as one chain of pattern tests."""
+    chain = None
+    for i, (_, concerns, phrases) in enumerate(dims.PRESSURE_RULES):
+        any_phrase = "|".join(re.escape(p) for p in phrases.split("|"))
+        test = layer.isin(*dims.owners(concerns)) & said.rlike(any_phrase)
+        chain = F.when(test, i) if chain is None else chain.when(test, i)
+    return chain
 
 
 def pressure_evidence(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """One row per (keys, rule, site): the first finding there that some rule accepts.
 
-    The rules are a literal array filtered inside the row, so nothing is joined or multiplied.
+    The rules are literals inside the row, so nothing is joined or multiplied.
     """
     keys = list(keys)
-    sentence, layer = F.lower("mechanism"), F.lower(F.trim("layer"))
-    first = F.try_element_at(
-        F.filter(
-            F.col("_rules"),
-            lambda r: F.array_contains(r["layers"], F.col("_layer")) & F.contains(F.col("_said"), r["phrase"]),
-        ),
-        F.lit(1),
+    phrases = F.array(*[F.array(*[F.lit(p) for p in ps.split("|")]) for _, _, ps in dims.PRESSURE_RULES])
+    trigger = F.try_element_at(
+        F.filter(F.element_at(phrases, F.col("rule") + 1), lambda p: F.contains(F.lower("mechanism"), p)), F.lit(1)
     )
     return (
-        findings.select(
-            *keys,
-            "ord",
-            "path",
-            "line",
-            "symbol",
-            "layer",
-            layer.alias("_layer"),
-            sentence.alias("_said"),
-            _pressure_phrases().alias("_rules"),
-        )
-        .withColumn("_hit", first)
-        .filter(F.col("_hit").isNotNull())
-        .groupBy(*keys, F.col("_hit.rule").alias("rule"), "path", "line", "symbol")
-        .agg(F.min_by(F.struct("layer", F.col("_hit.phrase").alias("trigger")), "ord").alias("_e"))
-        .select(*keys, "rule", "path", "line", "symbol", "_e.layer", "_e.trigger")
+        findings.withColumn("rule", _pressure_rule(F.lower(F.trim("layer")), F.lower("mechanism")))
+        .filter("rule is not null")
+        .groupBy(*keys, "rule", "path", "line", "symbol")
+        .agg(F.min_by(F.struct("layer", "mechanism"), "ord").alias("_e"))
+        .select(*keys, "rule", "path", "line", "symbol", "_e.layer", "_e.mechanism")
+        .withColumn("trigger", trigger)
+        .drop("mechanism")
     )
 
 

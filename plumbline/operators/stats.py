@@ -2,78 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.grading import ratio
+from plumbline.operators.scan import running_sum, spread_join
+from plumbline.session import cut_lineage
 
 MAX_EXACT = 10
 MAX_POOL = 20
 RESAMPLES = 20_000
-
-
-def log_factorials(df: DataFrame, top: Column) -> DataFrame:
-    """(n, lf) for n = 0..max(top), as exact running sums of ln(n) per slice of a generated range.
-
-    Only as long as the largest pooled count, which is one number read off the small pairs table.
-    """
-    from pyspark.sql import Window
-
-    most = df.agg(F.max(top)).first()[0] or 0
-    spark = df.sparkSession
-    n = spark.range(0, int(most) + 1).withColumnRenamed("id", "n")
-    term = F.when(F.col("n") > 1, F.ln(F.col("n").cast("double"))).otherwise(0.0)
-    slices = n.withColumn("_slice", F.floor(F.col("n") / 10_000)).withColumn("_t", term)
-    totals = slices.groupBy("_slice").agg(F.sum("_t").alias("_sum"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_off"))
-    inside = Window.partitionBy("_slice").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return slices.join(offsets, "_slice").select("n", (F.sum("_t").over(inside) + F.col("_off")).alias("lf"))
+STEP = 10_000
 
 
 def fisher_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs``: keys, hits_a, tested_a, hits_b, tested_b, independent. Adds two-sided ``p``.
 
-    Each table of the pair is one row, so a pair with many hits is spread over tasks.
+    Each table of a pair is one row. Its probability over the one before it is a ratio of four counts,
+    and all of them add up to one, so a running sum of logarithms stands in for the factorials.
     """
-    row = F.col("tested_a") + F.col("tested_b")
-    lf = log_factorials(pairs, row)
-    usable = (F.col("tested_a") > 0) & (F.col("tested_b") > 0) & F.col("independent")
-    base = pairs.filter(usable)
+    # a row per pair, read four times below: written once, so what counted the hits runs once
+    pairs = cut_lineage(pairs)
     drawn = F.col("hits_a") + F.col("hits_b")
     low = F.greatest(F.lit(0).cast("bigint"), drawn - F.col("tested_b"))
     high = F.least("tested_a", drawn)
+    usable = (F.col("tested_a") > 0) & (F.col("tested_b") > 0) & F.col("independent")
     # exploded in two steps so that no row ever carries an array as long as a hit count
     tables = (
-        base.withColumn("_high", high)
-        .withColumn("_from", F.explode(F.sequence(low, high, F.lit(10_000).cast("bigint"))))
-        .withColumn("x", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + 9_999, F.col("_high")))))
-        .drop("_high", "_from")
+        pairs.filter(usable)
+        .withColumn("_low", low)
+        .withColumn("_high", high)
+        .withColumn("_from", F.explode(F.expr(f"sequence(_low, _high, {STEP}L)")))
+        .withColumn("x", F.explode(F.expr(f"sequence(_from, least(_from + {STEP - 1}L, _high))")))
+    )
+    x = F.col("x")
+    ratio_up = (F.col("tested_a") - x + 1) * (drawn - x + 1) / (x * (F.col("tested_b") - drawn + x))
+    step = F.when(x == F.col("_low"), F.lit(0.0)).otherwise(F.ln(ratio_up))
+    weighted = running_sum(
+        tables.select(*keys, "x", "hits_a", step.alias("_step")), keys, [F.col("x")], F.floor(x / STEP), F.col("_step"), "_log"
+    )
+    peaks = weighted.groupBy(*keys).agg(
+        F.max("_log").alias("_peak"), F.max(F.when(F.col("x") == F.col("hits_a"), F.col("_log"))).alias("_seen")
     )
-    logs = [
-        ("tested_a", 1, F.col("tested_a")),
-        ("x", -1, F.col("x")),
-        ("ax", -1, F.col("tested_a") - F.col("x")),
-        ("tested_b", 1, F.col("tested_b")),
-        ("bx", -1, drawn - F.col("x")),
-        ("rest", -1, F.col("tested_b") - drawn + F.col("x")),
-        ("all", -1, row),
-        ("drawn", 1, drawn),
-        ("other", 1, row - drawn),
-    ]
-    total = F.lit(0.0)
-    for name, sign, n in logs:
-        tables = tables.withColumn("n", n).join(lf.withColumnRenamed("lf", f"_{name}"), "n").drop("n")
-        total = total + sign * F.col(f"_{name}")
-    probs = tables.withColumn("_p", F.exp(total))
-    observed = probs.filter(F.col("x") == F.col("hits_a")).select(*keys, F.col("_p").alias("_observed"))
-    summed = (
-        probs.join(observed, keys)
-        .filter(F.col("_p") <= F.col("_observed") * (1 + 1e-9))
+    weight = F.exp(F.col("_log") - F.col("_peak"))
+    p = (
+        spread_join(weighted, peaks, keys)
         .groupBy(*keys)
-        .agg(F.least(F.lit(1.0), F.sum("_p")).alias("p"))
+        .agg(
+            F.least(
+                F.lit(1.0), F.sum(F.when(F.col("_log") <= F.col("_seen") + 1e-9, weight).otherwise(0.0)) / F.sum(weight)
+            ).alias("p")
+        )
     )
-    return pairs.join(summed, keys, "left")
+    return pairs.join(p, keys, "left")
 
 
 def permutation_exact(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,6 +63,7 @@ def permutation_exact(samples: DataFrame, keys: list[str]) -> DataFrame:
     Every relabelling is one row of a generated range; the two means come from the arrays beside it.
     Pairs beyond the exact size are left to ``permutation_sampled``.
     """
+    samples = cut_lineage(samples)
     sized = samples.withColumn("_n", F.size("a")).withColumn("_m", F.size("b"))
     small = sized.filter(
         (F.col("_n") > 0) & (F.col("_m") > 0) & (F.col("_n") <= MAX_EXACT) & (F.col("_n") + F.col("_m") <= MAX_POOL)
@@ -108,8 +90,7 @@ def permutation_sampled(samples: DataFrame, keys: list[str], resamples: int = RE
     ``samples``: keys, side ('a' or 'b'), item bigint (unique in the pair), value double. Long form, so
     no pair is gathered: each (resample, value) is a row and the labels are cut by rank.
     """
-    from pyspark.sql import Window
-
+    samples = cut_lineage(samples)
     sizes = samples.groupBy(*keys).agg(
         F.count_if(F.col("side") == "a").alias("_n"),
         F.count_if(F.col("side") == "b").alias("_m"),

@@ -7,7 +7,8 @@ comma-joined text and are split on the Spark side.
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable
+from functools import cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -253,10 +254,28 @@ def ctes(*names: str) -> str:
     return ",\n".join(_duck(n) for n in ordered)
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def remembered(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Build the (lazy) frame once per application: views share plans, and none is analysed twice."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str, *args):
+        key = (spark.sparkContext.applicationId, id(spark), fn.__module__, fn.__name__, sf, *args)
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, sf, *args)
+        return _PLANS[key]
+
+    return run
+
+
+@remembered
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@remembered
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf, name)
@@ -273,6 +292,7 @@ def _split(col: str):
     return F.when(F.col(col) == "", F.array().cast("array<string>")).otherwise(F.split(col, ","))
 
 
+@remembered
 def drafts(spark: SparkSession, sf: str) -> DataFrame:
     flat = view(spark, sf, "findings_flat")
     p = F.struct(*[F.col(f"p_{c}").alias(c) for c in ("metric", "comparator", "value", "upper", "unit", "condition")])
@@ -281,6 +301,7 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@remembered
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     m = F.struct(F.col("m_value").alias("value"), F.col("m_experiment").alias("experiment"), F.lit("").alias("detail"))
     return (
@@ -290,6 +311,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@remembered
 def modules(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "modules_flat").select(
         "repo_id",
@@ -301,6 +323,7 @@ def modules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@remembered
 def defects(spark: SparkSession, sf: str) -> DataFrame:
     """Locations of one defect are gathered; a defect names three at most."""
     flat = view(spark, sf, "defects_flat")
@@ -310,10 +333,12 @@ def defects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@remembered
 def files(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "files_flat").drop("doc_id")
 
 
+@remembered
 def operations(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "operations_flat").select(
         "repo_id", "kind", F.col("tbl").alias("table"), _split("cols").alias("columns"), "path", "line",
@@ -321,6 +346,7 @@ def operations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@remembered
 def services(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "services_flat").select(
         "repo_id", "path", "ord", "name", "line", "image", "source_root", "command", _split("ports").alias("ports"),
@@ -329,6 +355,7 @@ def services(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@remembered
 def numbered_events(spark: SparkSession, sf: str) -> DataFrame:
     """``events_flat`` with seq 1..n per run, counted over daily slices."""
     flat = view(spark, sf, "events_flat")
@@ -361,10 +388,12 @@ def event_payload():
     )
 
 
+@remembered
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return numbered_events(spark, sf).select("run_id", "seq", "offset_ms", "event", event_payload().alias("data"))
 
 
+@remembered
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
     """One small repository per run of parts: every template once, the part's name woven in."""
     rows = [(i, p, x) for i, (p, x) in enumerate(TEMPLATES)]

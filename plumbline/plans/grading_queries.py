@@ -49,11 +49,13 @@ graded AS (
 )
 
 
+@b.remembered
 def gated_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings whose predictions passed the gate, the rejection kept beside them."""
     return gates.falsifiability_gate(b.findings(spark, sf))
 
 
+@b.remembered
 def dropped_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rejected predictions, and unpredicted high findings taken back, as the dropped side of a report."""
     gated = gated_findings(spark, sf)
@@ -65,6 +67,7 @@ def dropped_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@b.remembered
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row per review: its model, ground truth, cost and whether it failed."""
     flat = b.view(spark, sf, "findings_flat")
@@ -121,6 +124,7 @@ scores AS (
 )
 
 
+@b.remembered
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     return grading.score_reports(gated_findings(spark, sf), dropped_rows(spark, sf), report_rows(spark, sf))
 
@@ -294,10 +298,11 @@ SELECT case_id, arm, seed::BIGINT, 'dropped', path, symbol, NULL, NULL, 'collaps
 FROM j WHERE files IS NOT NULL AND cmp AND ord <> bo
 """, FLAT)
 def _(spark, sf):
-    kept, dropped = claims.collapse_repeats(b.drafts(spark, sf))
-    shaped = kept.select(*RUN, F.lit("kept").alias("side"), "path", "symbol", "ord", "severity", F.col("mechanism").alias("said"))
-    return shaped.unionByName(
-        dropped.select(*RUN, F.lit("dropped").alias("side"), "path", "symbol", F.col("reason").alias("said")), allowMissingColumns=True
+    marked = claims.mark_repeats(b.drafts(spark, sf))
+    kept = F.col("side") == "kept"
+    return marked.select(
+        *RUN, "side", "path", "symbol", F.when(kept, F.col("ord")).alias("ord"), F.when(kept, F.col("severity")).alias("severity"),
+        F.when(kept, F.col("mechanism")).otherwise(F.col("reason")).alias("said"),
     )
 
 
@@ -361,6 +366,7 @@ hit AS (SELECT DISTINCT case_id, arm, seed, id FROM said JOIN wanted USING (case
 matched AS (SELECT r.case_id, r.arm, r.seed, d.id, h.id IS NOT NULL AS found FROM runs_of r JOIN (SELECT DISTINCT case_id, id FROM defects_flat) d USING (case_id) LEFT JOIN hit h USING (case_id, arm, seed, id))""".replace("\\\\", "\\")
 
 
+@b.remembered
 def matched(spark, sf):
     found = b.drafts(spark, sf)
     return grading.match_defects(b.defects(spark, sf), found, found.select(*RUN).distinct())

@@ -30,6 +30,7 @@ mods AS (SELECT s.repo_id, s.p_partkey, s.path, s.loc, s.sigs, s.unmatched, s.ex
 LANG = "CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' ELSE 'cpp' END"
 
 
+@b.remembered
 def mapped(spark: SparkSession, sf: str) -> DataFrame:
     """Modules with fan-in and depth."""
     mods, edges = b.modules(spark, sf), b.view(spark, sf, "edges_flat")
@@ -79,6 +80,7 @@ grp AS (SELECT m.repo_id, array_to_string(string_split(path, '/')[1:least(2, gre
 packs AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY findings DESC, modules DESC, package) AS position FROM grp QUALIFY position <= 14)"""
 
 
+@b.remembered
 def packages(spark, sf):
     return graph.package_rollup(mapped(spark, sf), b.view(spark, sf, "findings_flat"))
 
@@ -181,6 +183,7 @@ vals AS (SELECT m.repo_id, m.path, m.loc, len(m.sigs) AS ns, (1.0 + fan_in) * le
 VIEWS_V = ("modules_flat", "edges_flat", "findings_flat", "commit_files")
 
 
+@b.remembered
 def valued(spark, sf):
     churn = graph.churn(b.view(spark, sf, "commit_files"))
     mods = mapped(spark, sf).join(churn, ["repo_id", "path"], "left")
@@ -258,6 +261,7 @@ cov AS (SELECT repo_id, path, 'skipped' AS status, arg_max(reason, rk) AS reason
   UNION ALL SELECT DISTINCT repo_id, path, 'analysed', NULL FROM reads_flat)"""
 
 
+@b.remembered
 def coverage(spark, sf):
     mods, read = b.modules(spark, sf), reads(spark, sf)
     failed = mods.filter("loc % 13 = 0").join(read, ["repo_id", "path"], "left_anti").select("repo_id", "path", F.lit("no specialist could read it").alias("reason"))

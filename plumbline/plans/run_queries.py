@@ -29,6 +29,7 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/plumbline-{what}-{uuid.uuid4().hex}"
 
 
+@b.remembered
 def typed(spark, sf) -> DataFrame:
     return ev.typed_events(b.events(spark, sf))[0]
 
@@ -49,6 +50,7 @@ def _(spark, sf):
 # -- steps -----------------------------------------------------------------------------------------
 
 
+@b.remembered
 def steps(spark, sf) -> DataFrame:
     """Recorded steps: who acted is the event's k, the module is the part carrying the user's number."""
     flat = b.numbered_events(spark, sf)
@@ -161,8 +163,7 @@ def _(spark, sf):
     """A first-in first-out walk, checked against a plain fold in the tests."""
     e = b.numbered_events(spark, sf)
     return ev.agent_spans(
-        e.select("run_id", F.concat(F.lit("a"), (F.col("k") % 3).cast("string")).alias("agent"), "seq", F.col("offset_ms").alias("at"), (F.col("event") == "agent.started").alias("is_start")),
-        slice_rows=16,
+        e.select("run_id", F.concat(F.lit("a"), (F.col("k") % 3).cast("string")).alias("agent"), "seq", F.col("offset_ms").alias("at"), (F.col("event") == "agent.started").alias("is_start"))
     )
 
 
@@ -386,6 +387,7 @@ def _(spark, sf):
 # -- the document -----------------------------------------------------------------------------------------------
 
 
+@b.remembered
 def sections(spark, sf) -> DataFrame:
     mods = mapped(spark, sf)
     cover = coverage(spark, sf)

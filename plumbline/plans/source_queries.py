@@ -411,10 +411,12 @@ def _(spark, sf):
 HIT = ["repo_id", "rule", "path", "line"]
 
 
+@b.remembered
 def docker(spark, sf):
     return deployment.dockerfiles(files(spark, sf))
 
 
+@b.remembered
 def composed(spark, sf):
     return declarations.compose_services(files(spark, sf))
 

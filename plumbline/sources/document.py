@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import short_number
 from plumbline.operators.gates import grade
 from plumbline.operators.ranking import finding_order, listed_and_rest
+from plumbline.session import cut_lineage
 
 LISTED = 20
 
@@ -96,7 +97,8 @@ def document_sections(
         ),
     )
     graded = grade(findings)
-    listed = listed_and_rest(graded, ["repo_id"], finding_order(), LISTED)
+    # twenty rows per repository, read three times
+    listed = cut_lineage(listed_and_rest(graded, ["repo_id"], finding_order(), LISTED))
     p, m = F.col("prediction"), F.col("measurement")
     block = F.concat_ws(
         "\n\n",

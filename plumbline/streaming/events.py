@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline import dims
 from plumbline.operators.graph import allowed_layers
 from plumbline.operators.scan import carried, running_sum, spread_join
+from plumbline.session import cut_lineage
 
 PAYLOAD = (
     "model string, root string, name string, scope string, language string, modules int, framework string, "
@@ -380,7 +381,7 @@ def _slice_effect(pdf: pd.DataFrame) -> pd.DataFrame:
         lowest = min(lowest, level)
     row = pdf.iloc[0]
     return pd.DataFrame(
-        [(row.run_id, row.agent, row._slice, level, -lowest, _settle_slice(starts, 0), _settle_slice(starts, 1))],
+        [(row["run_id"], row["agent"], row["_slice"], level, -lowest, _settle_slice(starts, 0), _settle_slice(starts, 1))],
         columns=["run_id", "agent", "_slice", "shift", "deep", "even", "odd"],
     )
 
@@ -424,16 +425,23 @@ def agent_spans(mentions: DataFrame, slice_rows: int = SLICE) -> DataFrame:
         lambda acc: acc["out"],
     )
     opened = chain.select("run_id", "agent", F.explode(entering).alias("e")).select("run_id", "agent", "e.*")
-    marked = (
+    # both sides of the pairing read this, so the walk is written once instead of run twice
+    marked = cut_lineage(
         sliced.join(opened, ["run_id", "agent", "_slice"])
         .groupBy("run_id", "agent", "_slice")
         .applyInPandas(_mark_slice, "run_id string, agent string, seq bigint, at bigint, opens boolean")
     )
-    order, cut = [F.col("seq")], F.floor(F.col("seq") / slice_rows)
     keys = ["run_id", "agent"]
-    begins = running_sum(marked.filter("opens"), keys, order, cut, F.lit(1).cast("bigint"), "n")
-    ends = running_sum(marked.filter("not opens"), keys, order, cut, F.lit(1).cast("bigint"), "n")
-    closing = ends.select(*keys, "n", F.col("at").alias("_end"))
-    return begins.join(closing, [*keys, "n"], "left").select(
-        *keys, "n", F.col("at").alias("started_at"), F.greatest("_end", F.when(F.col("_end").isNotNull(), F.col("at"))).alias("ended_at")
+    cut = F.floor(F.col("seq") / slice_rows)
+    counted = running_sum(marked, [*keys, "opens"], [F.col("seq")], cut, F.lit(1).cast("bigint"), "n")
+    closing = counted.filter("not opens").select(*keys, "n", F.col("at").alias("_end"))
+    return (
+        counted.filter("opens")
+        .join(closing, [*keys, "n"], "left")
+        .select(
+            *keys,
+            "n",
+            F.col("at").alias("started_at"),
+            F.greatest("_end", F.when(F.col("_end").isNotNull(), F.col("at"))).alias("ended_at"),
+        )
     )
