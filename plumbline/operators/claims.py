@@ -13,6 +13,7 @@ from plumbline.functions import text as t
 from plumbline.operators.gates import severity_rank, with_rejection
 from plumbline.operators.scan import spread_join
 from plumbline.schemas import RUN
+from plumbline.session import cut_lineage
 
 SYSTEMIC_FILES = 3
 ENOUGH_WORDS = 5
@@ -74,20 +75,38 @@ def strictest_prediction(drafts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def reconcile(drafts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """One finding per construct and predicted metric, keeping the strongest part of each draft."""
+    """One finding per construct and predicted metric, keeping the strongest part of each draft.
+
+    A construct named once passes through after one count and one join. Only the rest, written once,
+    is merged.
+    """
     keys = list(keys)
-    site = [*keys, "path", "symbol"]
-    metric = F.coalesce(F.col("prediction.metric"), F.lit(""))
-    drafts = drafts.withColumn("_metric", metric)
+    marked = drafts.withColumn("_site", _digest(*keys, "path", "symbol"))
+    several = marked.groupBy("_site").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    split = spread_join(marked, several, ["_site"], "left")
+    columns = [*keys, "ord", "path", "line", "layer", "symbol", "mechanism", "severity", "remediation", "arithmetic", "prediction"]
+    alone = split.filter("_rows is null").select(*columns)
+    shared = cut_lineage(split.filter("_rows is not null").drop("_rows"))
+    return alone.unionByName(_merge(shared, keys))
+
+
+def _digest(*cols: str) -> Column:
+    """One short key for a list of columns; 128 bits, and sorts on its first bytes."""
+    return F.md5(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u001e")) for c in cols]))
+
+
+def _merge(drafts: DataFrame, keys: list[str]) -> DataFrame:
+    site = ["_site"]
+    drafts = drafts.withColumn("_metric", F.coalesce(F.col("prediction.metric"), F.lit("")))
     metrics = (
-        drafts.groupBy(*site, "_metric")
-        .agg(F.lit(1).alias("_one"))
-        .filter(F.col("_metric") != "")
-        .groupBy(*site)
-        .agg(F.count(F.lit(1)).alias("_n_metrics"), F.first("_metric").alias("_only"))
+        drafts.filter("_metric <> ''")
+        .groupBy("_site")
+        .agg(F.min("_metric").alias("_only"), F.max("_metric").alias("_other"))
+        .filter("_only = _other")
+        .drop("_other")
     )
     placed = spread_join(drafts, metrics, site, "left").withColumn(
-        "_group", F.when((F.col("_metric") == "") & (F.col("_n_metrics") == 1), F.col("_only")).otherwise(F.col("_metric"))
+        "_group", F.when(F.col("_metric") == "", F.coalesce("_only", F.lit(""))).otherwise(F.col("_metric"))
     )
     group = [*site, "_group"]
     order = F.col("ord")
@@ -97,6 +116,7 @@ def reconcile(drafts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 
     merged = with_rejection(placed).groupBy(*group).agg(
         F.count(F.lit(1)).alias("_size"),
+        *[F.first(c).alias(c) for c in (*keys, "path", "symbol")],
         F.min("ord").alias("ord"),
         F.min("line").alias("line"),
         F.max_by("severity", F.struct(severity_rank(F.col("severity")), -order)).alias("severity"),
@@ -164,19 +184,31 @@ def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     One sentence about three or more files becomes one finding: the worst, earliest one.
     """
     keys = list(keys)
-    group = [*keys, "layer", "_shape"]
+    group = ["_same"]
     words = F.regexp_extract_all(
         F.regexp_replace(F.lower("mechanism"), dims.SPECIFICS, " "), F.lit("([a-z]+)"), 1
     )
     shaped = (
         findings.withColumn("_words", words)
         .withColumn("_shape", F.when(F.size("_words") >= ENOUGH_WORDS, F.array_join("_words", " ")))
-        .drop("_words")
-    )
-    rank = F.struct(
-        (-severity_rank(F.col("severity"))).alias("s"), F.col("path").alias("p"), F.col("ord").alias("o")
+        .withColumn("_same", F.when(F.col("_shape").isNotNull(), _digest(*keys, "layer", "_shape")))
+        .drop("_words", "_shape")
+    )
+    # earliest row of each severity: whole numbers only, so the first reduction is a hash aggregate
+    level = severity_rank(F.col("severity"))
+    per_file = (
+        shaped.groupBy("_same", "path")  # null for too little to compare; it joins nothing below
+        .agg(*[F.min(F.when(level == n, F.col("ord"))).alias(f"_o{n}") for n in (2, 1, 0)])
+        .select(
+            "_same",
+            "path",
+            F.struct(
+                F.when(F.col("_o2").isNotNull(), -2).when(F.col("_o1").isNotNull(), -1).otherwise(0).alias("s"),
+                F.col("path").alias("p"),
+                F.coalesce("_o2", "_o1", "_o0").alias("o"),
+            ).alias("_best"),
+        )
     )
-    per_file = shaped.filter("_shape is not null").groupBy(*group, "path").agg(F.min(rank).alias("_best"))
     # Seven earliest paths are enough to name five others and to know there are more. Both branches
     # read the same columns of per_file, so its shuffle is written once and read twice.
     order = Window.partitionBy(*group).orderBy("path")

@@ -22,7 +22,8 @@ def spread_join(
     """Join where one key of ``big`` may hold a third of its rows.
 
     ``small`` is repeated once per salt and ``big`` is spread over the salts, so a hot key is shared
-    by ``salts`` tasks whatever adaptive settings the session has.
+    by ``salts`` tasks whatever adaptive settings the session has. The salt is a hash of the row, so a
+    task that is run again deals its rows out the same way.
     """
     keys = list(on)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*[big[c] for c in _hashable(big)]), F.lit(salts)).cast("int"))

@@ -254,6 +254,7 @@ def ctes(*names: str) -> str:
     return ",\n".join(_duck(n) for n in ordered)
 
 
+SPREAD_BYTES = 1 << 20
 _PLANS: dict[tuple, DataFrame] = {}
 
 
@@ -272,7 +273,15 @@ def remembered(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 @remembered
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One shared table. A file too small to split would run everything after it in one task, so it
+    is dealt out over the cores; tables with splits enough are read as they are.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES and df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
 
 
 @remembered
