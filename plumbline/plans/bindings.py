@@ -24,8 +24,8 @@ TABLES = (
 
 
 def _case(expr: str, options: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(options))
-    return f"CASE {expr} {arms} END"
+    """The option numbered by ``expr``, from one delimited text: far smaller code than a CASE arm each."""
+    return f"split_part('{'|'.join(options)}', '|', cast({expr} AS int) + 1)"
 
 
 EXT = "CASE {p}p_type WHEN 'ECONOMY' THEN '.py' WHEN 'PROMO' THEN '.ts' WHEN 'STANDARD' THEN '.go' WHEN 'LARGE' THEN '.rs' WHEN 'MEDIUM' THEN '.java' ELSE '.cpp' END"

@@ -32,7 +32,7 @@ def typed_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(admitted with subject, verb and parsed payload; rejected with the reason)."""
     known = F.col("event").isin(*dims.EVENT_NAMES)
     payload = F.from_json("data", PAYLOAD, {"mode": "PERMISSIVE"})
-    bad = F.col("data").isNotNull() & F.get_json_object("data", "$").isNull()
+    bad = F.get_json_object(F.coalesce("data", F.lit("{}")), "$").isNull()
     marked = events.withColumn(
         "reason",
         F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown event")).when(bad, F.lit("payload is not JSON")),

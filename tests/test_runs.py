@@ -118,3 +118,22 @@ def test_torn_lines_cost_only_themselves(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"run_id":"r","seq":1,"agent":"x"}\n\n[1]\n{"run_id":"r","se')
     rows = jsonl.scan_trajectory(spark, str(tmp_path / "a.jsonl")).collect()
     assert [(r.run_id, r.seq) for r in rows] == [("r", 1)]
+
+
+def test_streamed_history_closes_and_gives_up(spark, tmp_path):
+    """Begin and finish meet on a stream; a begin whose finish never comes is interrupted once time has passed."""
+    schema = "event string, run_id string, model string, scope string, modules int, started_at string, finished_at string, read int, findings int, usd double, report string, at timestamp"
+    folder = tmp_path / "log"
+    row = lambda event, run, second: (event, run, "m", "", 5, "s", "f" if event == "finish" else None, 3, 1, 0.5, "", second)
+
+    def write(name, rows):
+        made = spark.createDataFrame(rows, schema.replace("at timestamp", "sec bigint"))
+        made.withColumn("at", F.timestamp_seconds("sec")).drop("sec").coalesce(1).write.json(str(folder / name))
+
+    write("one", [row("begin", "a", 1000), row("begin", "b", 1001), row("finish", "a", 1060)])
+    write("two", [row("begin", "c", 9000), row("finish", "c", 9001)])
+    write("three", [row("begin", "d", 20000), row("finish", "d", 20001)])
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder / "*"))
+    got = drained(spark, ev.run_history_stream(live, "at", "10 minutes"), "history", tmp_path, "append").collect()
+    seen = {r.run_id: r.interrupted for r in got}
+    assert seen["a"] is False and seen["b"] is True and seen["c"] is False
