@@ -133,11 +133,11 @@ ORACLES["op6_substring_dedup"] = r"""
 WITH split AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents),
 starts AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS at, ws FROM split WHERE len(ws) >= 35),
-windows AS (SELECT doc_id, at, list_slice(ws, at, at + 34) AS seq FROM starts),
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS pos, ws FROM split WHERE len(ws) >= 35),
+windows AS (SELECT doc_id, pos, list_slice(ws, pos, pos + 34) AS seq FROM starts),
 twice AS (SELECT seq FROM windows GROUP BY seq HAVING count(*) > 1),
-hit AS (SELECT w.doc_id, w.at FROM windows w JOIN twice t ON w.seq = t.seq),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS place FROM hit),
+hit AS (SELECT w.doc_id, w.pos FROM windows w JOIN twice t ON w.seq = t.seq),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS place FROM hit),
 words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS place, unnest(ws) AS word FROM split WHERE len(ws) > 0),
 kept AS (
   SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.place) AS kept, count(*) AS n
@@ -157,9 +157,9 @@ sets AS (
 keyed AS (SELECT doc_id, list_sort(s) AS s FROM sets),
 classes AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM keyed GROUP BY s),
 items AS (SELECT id, n, unnest(s) AS x FROM classes),
-pairs AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS both
+pairs AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS shared
   FROM items a JOIN items b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, 3),
-links AS (SELECT a, b FROM pairs WHERE 100 * both >= 80 * (n - both)),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (n - shared)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, root) AS (SELECT id, id FROM classes UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id),
 roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
