@@ -131,7 +131,7 @@ FROM marked GROUP BY conv_id
 
 ORACLES["op6_substring_dedup"] = r"""
 WITH split AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 starts AS (
   SELECT doc_id, unnest(range(1, len(ws) - 33)) AS pos, ws FROM split WHERE len(ws) >= 35),
 windows AS (SELECT doc_id, pos, list_slice(ws, pos, pos + 34) AS seq FROM starts),
@@ -149,10 +149,10 @@ FROM split s LEFT JOIN kept k USING (doc_id)
 ORACLES["op9_near_duplicates"] = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(list_slice(ws, i, i + 3), ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' '))) END AS s
   FROM split),
 keyed AS (SELECT doc_id, list_sort(s) AS s FROM sets),
 classes AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM keyed GROUP BY s),
