@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from functools import lru_cache
 from pathlib import Path
@@ -50,16 +51,17 @@ def _cutter(vocabulary: str):
 def pre_token_postings(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     """Per chunk of documents and distinct pre-token, the places in the chunk that hold it and how often.
 
-    A frequent pre-token costs one row a chunk, not one a document. The row without a pre-token lists the chunk's ids and
-    text sizes.
+    A frequent pre-token costs one row a chunk, not one a document. Places and times are packed into bytes. The row without
+    a pre-token lists the chunk's ids and text sizes.
     """
     shape = T.StructType(
         [
             T.StructField("chunk", T.LongType()),
+            T.StructField("held", T.IntegerType()),
             T.StructField("pre_token", T.StringType()),
-            T.StructField("places", T.ArrayType(T.IntegerType())),
-            T.StructField("times", T.ArrayType(T.LongType())),
+            T.StructField("packed", T.BinaryType()),
             T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
+            T.StructField("sizes", T.ArrayType(T.LongType())),
         ]
     )
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -84,22 +86,63 @@ def pre_token_postings(docs: DataFrame, vocabulary: str, id_col: str, text_col:
                         times[token].append(n)
                     else:
                         places[token], times[token] = [place], [n]
+            known = [[chunk], [len(ids)], [None], [None], [ids], [sizes]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(known, arrow, strict=True)], schema=arrow)
             tokens = list(places)
-            for start in range(0, len(tokens) + 1, 50_000):
-                some = tokens[start : start + 50_000]
-                rows = [some, [places[t] for t in some], [times[t] for t in some], [None] * len(some)]
-                if start == 0:
-                    for column, value in zip(rows, [None, list(range(len(ids))), sizes, ids], strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip([[chunk] * len(rows[0]), *rows], arrow, strict=True)],
-                    schema=arrow,
-                )
+            for start in range(0, len(tokens), 50_000):
+                some, none = tokens[start : start + 50_000], [None] * len(tokens[start : start + 50_000])
+                packed = [_packed(places[t], times[t]) for t in some]
+                rows = [[chunk] * len(some), [len(ids)] * len(some), some, packed, none, none]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, arrow, strict=True)], schema=arrow)
             chunk += 1
 
     return docs.select(id_col, text_col).mapInArrow(run, shape)
 
 
+def _packed(places: list[int], times: list[int]) -> bytes:
+    """Places and times as three bytes each where they fit, or as sixteen."""
+    if places[-1] < 65536 and max(times) < 256:
+        return b"s" + array("H", places).tobytes() + bytes(times)
+    return b"l" + array("q", places).tobytes() + array("q", times).tobytes()
+
+
+def tokens_per_place(joined: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """Rows (chunk, place, tokens): a task's sums of pieces times frequency, given out whenever ``most`` of them are held."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        held = 0
+
+        def given():
+            for chunk, total in sums.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), chunk)), pa.array(at), pa.array(total[at])], names=["chunk", "place", "tokens"]
+                )
+            sums.clear()
+
+        for batch in batches:
+            for chunk, n, pieces, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk not in sums:
+                    if held > most:
+                        yield from given()
+                        held = 0
+                    sums[chunk] = np.zeros(n, np.int64)
+                    held += n
+                if data[:1] == b"s":
+                    k = len(data) // 3
+                    at, times = np.frombuffer(data, np.uint16, k, 1), np.frombuffer(data, np.uint8, k, 1 + 2 * k)
+                else:
+                    at, times = np.frombuffer(data, np.int64, offset=1).reshape(2, -1)
+                sums[chunk][at] += times * np.int64(pieces)
+        yield from given()
+
+    return joined.select("chunk", "held", "pieces", "packed").mapInArrow(run, "chunk long, place long, tokens long")
+
+
 def pieces_per_pre_token(tokens: DataFrame, vocabulary: str, column: str = "pre_token") -> DataFrame:
     """The number of vocabulary pieces of each distinct pre-token."""
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
@@ -139,24 +182,11 @@ def token_counts(
     postings = written(pre_token_postings(docs, vocabulary, id_col, text_col, chunk_bytes), "pre-tokens")
     tokens = postings.where(F.col("pre_token").isNotNull())
     pieces = pieces_per_pre_token(tokens, vocabulary)
-    # Hash join: a task holds its share of the distinct pre-tokens only, and rows with long lists are not sorted.
-    summed = tokens.join(pieces.hint("shuffle_hash"), "pre_token").select(
-        "chunk", "pieces", F.explode(F.arrays_zip("places", "times")).alias("at")
-    )
-    none = F.lit(None)
-    counted = summed.select(
-        "chunk",
-        F.col("at.places").alias("place"),
-        (F.col("pieces") * F.col("at.times")).alias("tokens"),
-        none.cast("long").alias("size"),
-        none.cast(docs.schema[id_col].dataType).alias("id"),
-    )
-    listed = postings.where(F.col("pre_token").isNull()).select(
-        "chunk", F.explode(F.arrays_zip("places", "times", "ids")).alias("at")
-    )
-    known = listed.select(
-        "chunk", F.col("at.places").alias("place"), F.lit(0).cast("long"), F.col("at.times"), F.col("at.ids")
-    )
+    # Hash join: a task holds its share of the distinct pre-tokens only, and the packed rows are not sorted.
+    counted = tokens_per_place(tokens.join(pieces.hint("shuffle_hash"), "pre_token"))
+    counted = counted.withColumns({"size": F.lit(None).cast("long"), "id": F.lit(None).cast(docs.schema[id_col].dataType)})
+    listed = postings.where(F.col("pre_token").isNull()).select("chunk", F.posexplode(F.arrays_zip("sizes", "ids")))
+    known = listed.select("chunk", F.col("pos").cast("long"), F.lit(0).cast("long"), F.col("col.sizes"), F.col("col.ids"))
     return (
         counted.unionAll(known)
         .groupBy("chunk", "place")
