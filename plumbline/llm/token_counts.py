@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import pieces_of, written
+from plumbline.llm.common import pieces_of
 
 #: Fixed value: how the byte-level vocabulary cuts a text before it merges bytes.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,26 +106,52 @@ def _packed(places: list[int], times: list[int]) -> bytes:
     return b"l" + array("q", places).tobytes() + array("q", times).tobytes()
 
 
-def tokens_per_place(joined: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """Rows (chunk, place, tokens): a task's sums of pieces times frequency, given out whenever ``most`` of them are held."""
+def tokens_per_place(dealt: DataFrame, vocabulary: str, most: int = 4_000_000) -> DataFrame:
+    """Rows (chunk, place, tokens, size, id) from postings dealt by pre-token, each distinct one being met in one task only.
+
+    The rows that list a chunk's documents give their sizes and ids. A task counts the pieces of a pre-token when it first meets it, joins them to all postings of it, and adds up; its sums
+    are given out whenever ``most`` of them are held.
+    """
+    shape = T.StructType(
+        [T.StructField(c, T.LongType()) for c in ("chunk", "place", "tokens", "size")]
+        + [T.StructField("id", dealt.schema["ids"].dataType.elementType)]
+    )
+    shared = dealt.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from tokenizers import Tokenizer
 
+        arrow = to_arrow_schema(shape)
+
+        def rows(chunk, places, tokens, sizes, ids):
+            columns = [[chunk] * len(places), places, tokens, sizes, ids]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        library = Tokenizer.from_str(shared.value)
+        library.no_truncation()
+        library.no_padding()
+        known: dict[str, int] = {}
         sums: dict[int, np.ndarray] = {}
         held = 0
 
         def given():
             for chunk, total in sums.items():
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), chunk)), pa.array(at), pa.array(total[at])], names=["chunk", "place", "tokens"]
-                )
+                yield rows(chunk, at, total[at], [None] * len(at), [None] * len(at))
             sums.clear()
 
         for batch in batches:
-            for chunk, n, pieces, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tokens = batch.column("pre_token").to_pylist()
+            fresh = [t for t in dict.fromkeys(tokens) if t is not None and t not in known]
+            known.update(zip(fresh, map(len, library.encode_batch(fresh, add_special_tokens=False)), strict=True))
+            rest = (batch.column(c).to_pylist() for c in ("chunk", "held", "packed", "ids", "sizes"))
+            for token, chunk, n, data, ids, sizes in zip(tokens, *rest, strict=True):
+                if token is None:
+                    yield rows(chunk, range(n), [0] * n, sizes, ids)
+                    continue
                 if chunk not in sums:
                     if held > most:
                         yield from given()
@@ -137,30 +163,10 @@ def tokens_per_place(joined: DataFrame, most: int = 4_000_000) -> DataFrame:
                     at, times = np.frombuffer(data, np.uint16, k, 1), np.frombuffer(data, np.uint8, k, 1 + 2 * k)
                 else:
                     at, times = np.frombuffer(data, np.int64, offset=1).reshape(2, -1)
-                sums[chunk][at] += times * np.int64(pieces)
+                sums[chunk][at] += times * np.int64(known[token])
         yield from given()
 
-    return joined.select("chunk", "held", "pieces", "packed").mapInArrow(run, "chunk long, place long, tokens long")
-
-
-def pieces_per_pre_token(tokens: DataFrame, vocabulary: str, column: str = "pre_token") -> DataFrame:
-    """The number of vocabulary pieces of each distinct pre-token."""
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches):
-        import pyarrow as pa
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_str(shared.value)
-        library.no_truncation()
-        library.no_padding()
-        for batch in batches:
-            found = library.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in found], pa.int64())], names=[column, "pieces"]
-            )
-
-    return tokens.select(column).distinct().mapInArrow(run, f"{column} string, pieces long")
+    return dealt.mapInArrow(run, shape)
 
 
 def token_counts(
@@ -179,16 +185,11 @@ def token_counts(
     byte-level vocabulary of the ``tokenizers`` library, read on the driver and sent to the tasks.
     """
     vocabulary = Path(vocabulary_file).read_text(encoding="utf-8")
-    postings = written(pre_token_postings(docs, vocabulary, id_col, text_col, chunk_bytes), "pre-tokens")
-    tokens = postings.where(F.col("pre_token").isNotNull())
-    pieces = pieces_per_pre_token(tokens, vocabulary)
-    # Hash join: a task holds its share of the distinct pre-tokens only, and the packed rows are not sorted.
-    counted = tokens_per_place(tokens.join(pieces.hint("shuffle_hash"), "pre_token"))
-    counted = counted.withColumns({"size": F.lit(None).cast("long"), "id": F.lit(None).cast(docs.schema[id_col].dataType)})
-    listed = postings.where(F.col("pre_token").isNull()).select("chunk", F.posexplode(F.arrays_zip("sizes", "ids")))
-    known = listed.select("chunk", F.col("pos").cast("long"), F.lit(0).cast("long"), F.col("col.sizes"), F.col("col.ids"))
+    postings = pre_token_postings(docs, vocabulary, id_col, text_col, chunk_bytes)
+    route = F.coalesce("pre_token", F.concat(F.lit("chunk "), F.col("chunk").cast("string")))
+    dealt = postings.withColumn("route", route).repartition("route").drop("route")
     return (
-        counted.unionAll(known)
+        tokens_per_place(dealt, vocabulary)
         .groupBy("chunk", "place")
         .agg(F.max("id").alias(id_col), F.max("size").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
         .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
