@@ -108,30 +108,33 @@ def _merge(drafts: DataFrame, keys: list[str]) -> DataFrame:
     placed = spread_join(drafts, metrics, site, "left").withColumn(
         "_group", F.when(F.col("_metric") == "", F.coalesce("_only", F.lit(""))).otherwise(F.col("_metric"))
     )
+    # prose that joins the drafts of the only metric comes after them
+    placed = placed.withColumn("_late", ((F.col("_metric") == "") & (F.col("_group") != "")).cast("int"))
     group = [*site, "_group"]
-    order = F.col("ord")
+    order = F.struct("_late", "ord")
+    latest = (-F.col("_late"), -F.col("ord"))
 
     def longest(c: str) -> Column:
-        return F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -order)).alias(c)
+        return F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), *latest)).alias(c)
 
     merged = with_rejection(placed).groupBy(*group).agg(
         F.count(F.lit(1)).alias("_size"),
         *[F.first(c).alias(c) for c in (*keys, "path", "symbol")],
         F.min("ord").alias("ord"),
         F.min("line").alias("line"),
-        F.max_by("severity", F.struct(severity_rank(F.col("severity")), -order)).alias("severity"),
+        F.max_by("severity", F.struct(severity_rank(F.col("severity")), *latest)).alias("severity"),
         longest("remediation"),
         longest("arithmetic"),
         F.min_by("mechanism", order).alias("_first_mechanism"),
         F.min_by("layer", order).alias("_first_layer"),
-        *strictest(F.col("prediction"), order),
+        *strictest(F.col("prediction"), F.col("ord")),
     )
     # Each distinct sentence needs at least two of 4,000 characters, each layer at least one of 60,
     # so these heads are whole for the result and bounded whatever the group holds.
     sentences = _head(
         placed.filter(F.coalesce("mechanism", F.lit("")) != "")
         .groupBy(*group, "mechanism")
-        .agg(F.min("ord").alias("_o")),
+        .agg(F.min(order).alias("_o")),
         group,
         F.col("_o"),
         2001,

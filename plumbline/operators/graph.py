@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def fan_in(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return modules.drop("fan_in").join(counts, ["repo_id", "path"], "left").na.fill(0, ["fan_in"])
 
 
-def request_depth(modules: DataFrame, edges: DataFrame, entrypoints: DataFrame, max_hops: int = 10_000) -> DataFrame:
+def request_depth(modules: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """Hops from the nearest entrypoint, null where none reaches.
 
     One distributed hop per loop turn: the frontier joins the edges and drops what was seen. Each
@@ -41,7 +43,7 @@ def request_depth(modules: DataFrame, edges: DataFrame, entrypoints: DataFrame,
     )
     layers = [frontier.withColumn("depth", F.lit(0))]
     seen = frontier
-    for hop in range(1, max_hops):
+    for hop in count(1):
         reached = (
             graph.join(frontier, ["repo_id", "path"], "left_semi")
             .select("repo_id", F.col("dst").alias("path"))

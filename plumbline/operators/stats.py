@@ -10,7 +10,7 @@ from plumbline.operators.scan import running_sum, spread_join
 from plumbline.session import cut_lineage
 
 MAX_EXACT = 10
-MAX_POOL = 20
+MAX_POOL = 22
 RESAMPLES = 20_000
 STEP = 10_000
 
@@ -58,7 +58,7 @@ def fisher_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def permutation_exact(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """``samples``: keys, a array<double>, b array<double>, at most 20 values together.
+    """``samples``: keys, a array<double>, b array<double>, at most ``MAX_POOL`` values together.
 
     Every relabelling is one row of a generated range; the two means come from the arrays beside it.
     Pairs beyond the exact size are left to ``permutation_sampled``.
@@ -112,6 +112,17 @@ def permutation_sampled(samples: DataFrame, keys: list[str], resamples: int = RE
     return sizes.select(*keys).join(counted, keys, "left")
 
 
+def permutation_p(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """A p-value for every pair with values on both sides: exact where all relabellings can be listed, else sampled."""
+    exact = permutation_exact(samples, keys)
+    rest = exact.filter("p is null and size(a) > 0 and size(b) > 0")
+    sides = [rest.select(*keys, F.lit(side).alias("side"), F.posexplode(side).alias("at", "value")) for side in ("a", "b")]
+    items = sides[0].unionByName(sides[1]).withColumn("item", F.col("at") * 2 + (F.col("side") == "b").cast("int"))
+    sampled = permutation_sampled(items.select(*keys, "side", F.col("item").cast("bigint").alias("item"), "value"), keys)
+    found = exact.join(sampled.withColumnRenamed("p", "_sampled"), keys, "left")
+    return found.withColumn("p", F.coalesce("p", "_sampled")).drop("_sampled")
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 

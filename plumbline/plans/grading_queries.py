@@ -256,13 +256,13 @@ def _(spark, sf):
 @query("A11_reconcile", GATED + """,
 cons AS (SELECT *, CASE WHEN predicted = 1 THEN p_metric ELSE '' END AS mt FROM judged),
 nm AS (SELECT case_id, arm, seed, path, symbol, count(DISTINCT mt) FILTER (WHERE mt <> '') AS k, max(mt) AS only_m FROM cons GROUP BY ALL),
-grp AS (SELECT c.*, CASE WHEN mt = '' AND k = 1 THEN only_m ELSE mt END AS g FROM cons c JOIN nm USING (case_id, arm, seed, path, symbol)),""" + _STRICT.format(g="case_id, arm, seed, path, symbol, g", t="grp") + f""",
-firsts AS (SELECT case_id, arm, seed, path, symbol, g, mechanism, min(ord) AS o FROM grp WHERE mechanism <> '' GROUP BY ALL),
+grp AS (SELECT c.*, CASE WHEN mt = '' AND k = 1 THEN only_m ELSE mt END AS g, CASE WHEN mt = '' AND k = 1 THEN 1 ELSE 0 END AS late FROM cons c JOIN nm USING (case_id, arm, seed, path, symbol)),""" + _STRICT.format(g="case_id, arm, seed, path, symbol, g", t="grp") + f""",
+firsts AS (SELECT case_id, arm, seed, path, symbol, g, mechanism, min({{'late': late, 'ord': ord}}) AS o FROM grp WHERE mechanism <> '' GROUP BY ALL),
 sent AS (SELECT case_id, arm, seed, path, symbol, g, string_agg(mechanism, ' ' ORDER BY o) AS s FROM firsts GROUP BY ALL),
 merged AS (
   SELECT case_id, arm, seed, path, symbol, g, count(*) AS n, min(ord) AS ord, min(line) AS line,
-    arg_max(severity, ({_SEV}, -ord)) AS severity, arg_max(remediation, (length(remediation), -ord)) AS remediation, arg_max(arithmetic, (length(arithmetic), -ord)) AS arithmetic,
-    array_to_string(list_sort(list(DISTINCT layer)), '+') AS layers, arg_min(layer, ord) AS layer1
+    arg_max(severity, ({_SEV}, -late, -ord)) AS severity, arg_max(remediation, (length(remediation), -late, -ord)) AS remediation, arg_max(arithmetic, (length(arithmetic), -late, -ord)) AS arithmetic,
+    array_to_string(list_sort(list(DISTINCT layer)), '+') AS layers, arg_min(layer, (late, ord)) AS layer1
   FROM grp GROUP BY ALL)
 SELECT m.case_id, m.arm, m.seed::BIGINT AS seed, m.ord, m.path, m.line::BIGINT AS line, CASE WHEN n = 1 THEN layer1 ELSE substr(layers, 1, 60) END AS layer, m.symbol, substr(s, 1, 4000) AS mechanism,
   m.severity, m.remediation, m.arithmetic, st.p_metric AS metric, st.p_comparator AS comparator, st.p_value AS value, st.p_upper AS upper
@@ -464,14 +464,14 @@ SAMPLES = SCORED + """,
 rates AS (SELECT case_id, arm, seed, round(found / seeded, 3) AS rate FROM scores),
 arrs AS (SELECT case_id, coalesce(list_sort(list(rate) FILTER (WHERE arm = 'pipeline')), []) AS a, coalesce(list_sort(list(rate) FILTER (WHERE arm = 'baseline')), []) AS b FROM rates GROUP BY case_id),
 masks AS (SELECT case_id, list_concat(a, b) AS pool, len(a) AS n, len(b) AS m, abs(list_avg(a) - list_avg(b)) AS obs, unnest(range(0, (1 << (len(a) + len(b)))::BIGINT)) AS mask
-  FROM arrs WHERE len(a) BETWEEN 1 AND 10 AND len(b) > 0 AND len(a) + len(b) <= 20),
+  FROM arrs WHERE len(a) BETWEEN 1 AND 10 AND len(b) > 0 AND len(a) + len(b) <= 22),
 gaps AS (SELECT case_id, obs, n, m, list_sum(list_transform(pool, lambda v, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN v ELSE 0 END)) AS l, list_sum(pool) AS t FROM masks WHERE bit_count(mask) = n),
 perm AS (SELECT case_id, count(*) FILTER (WHERE abs(l / n - (t - l) / m) >= obs - 1e-12) / count(*) AS p FROM gaps GROUP BY case_id)"""
 
 
 @query("Q02_permutation_exact", SAMPLES + " SELECT arrs.case_id, len(a)::BIGINT AS n, len(b)::BIGINT AS m, round(p, 6) AS p FROM arrs LEFT JOIN perm USING (case_id)", FLAT)
 def _(spark, sf):
-    p = stats.permutation_exact(recall_samples(spark, sf), ["case_id"])
+    p = stats.permutation_p(recall_samples(spark, sf), ["case_id"])
     return p.select("case_id", F.size("a").alias("n"), F.size("b").alias("m"), "p")
 
 

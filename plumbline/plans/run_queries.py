@@ -86,7 +86,8 @@ UNION ALL SELECT run_id, seq, 'agent.started', 'analyst:data', 'data', path, NUL
 UNION ALL SELECT run_id, seq, 'agent.finished', 'analyst:data', NULL, NULL, NULL, 2 FROM s WHERE who = 2
 """, (*EV, "modules_flat"))
 def _(spark, sf):
-    return ev.narrate(steps(spark, sf), b.modules(spark, sf)).drop("pos")
+    repos = b.view(spark, sf, "modules_flat").select(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("run_id"), "repo_id")
+    return ev.narrate(steps(spark, sf).join(repos, "run_id"), b.modules(spark, sf)).drop("pos")
 
 
 STAGED = ", ".join(f"('{e}', {dims.STAGES.index(s) + 1})" for e, s in dims.STAGE_OF_EVENT.items())
@@ -126,7 +127,8 @@ def _(spark, sf):
 @query("ST5_live_spend", EVENTS + """,
 m AS (SELECT *, last_value(CASE WHEN event = 'review.started' THEN 'model-' || (k % 3) END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS model FROM ok)
 SELECT run_id, coalesce(model, 'model') AS model, round(sum(value), 6) AS usd, count(*) AS calls FROM m WHERE event = 'agent.finished' GROUP BY ALL
-UNION ALL SELECT run_id, 'total', round(coalesce(arg_max(value, seq) FILTER (WHERE event = 'review.completed'), sum(value) FILTER (WHERE event = 'agent.finished'), 0.0), 6), count(*) FILTER (WHERE event = 'agent.finished') FROM ok GROUP BY run_id
+UNION ALL SELECT run_id, 'total', round(coalesce(any_value(final), 0.0) + coalesce(sum(value) FILTER (WHERE event = 'agent.finished' AND (ended IS NULL OR seq > ended)), 0.0), 6), count(*) FILTER (WHERE event = 'agent.finished')
+FROM ok LEFT JOIN (SELECT run_id, max(seq) AS ended, arg_max(value, seq) AS final FROM ok WHERE event = 'review.completed' GROUP BY run_id) USING (run_id) GROUP BY run_id
 """, EV)
 def _(spark, sf):
     t = typed(spark, sf)

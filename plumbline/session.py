@@ -23,6 +23,7 @@ def build_session(app: str = "plumbline", master: str | None = None, cores: int
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.codegen.wholeStage", "true")
         .getOrCreate()
@@ -32,7 +33,7 @@ def build_session(app: str = "plumbline", master: str | None = None, cores: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, one machine) is a temporary folder made.
+    Only where the setting is absent and everything runs in one process is a temporary folder made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="plumbline-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh

@@ -53,8 +53,10 @@ ANSWER = "specialists array<string>, reasoning string, findings array<string>, p
 def narrate(steps: DataFrame, modules: DataFrame) -> DataFrame:
     """Recorded steps as events, 0..n each: hand-off, one start per chosen layer, finish.
 
-    ``modules(repo_id?, path, signals)`` is the static side that bounds what triage may choose.
+    ``modules(repo_id?, path, signals)`` is the static side that bounds what triage may choose. Where steps name their
+    repository too, only its own modules count.
     """
+    place = [c for c in ("repo_id", "path") if c == "path" or (c in steps.columns and c in modules.columns)]
     role = F.element_at(F.split("agent", ":", 2), 1)
     subject = F.coalesce(F.try_element_at(F.split("agent", ":", 2), F.lit(2)), F.lit(""))
     detail, answer = F.from_json("detail", ANSWER), F.from_json("response", ANSWER)
@@ -62,6 +64,7 @@ def narrate(steps: DataFrame, modules: DataFrame) -> DataFrame:
     chosen = (role == "triage") & (subject != "")
     named = F.when(skipped, detail["specialists"]).when(chosen, answer["specialists"])
     read = steps.select(
+        *place[:-1],
         "run_id",
         "seq",
         "agent",
@@ -71,8 +74,8 @@ def narrate(steps: DataFrame, modules: DataFrame) -> DataFrame:
         ((role == "analyst") & (subject != "") & (F.col("action") == "model_call")).alias("_finished"),
         F.coalesce(F.size(answer["findings"]), F.lit(0)).alias("_findings"),
     )
-    known = modules.select("path", allowed_layers(F.col("signals")).alias("_allowed"))
-    joined = read.join(known, "path", "left")
+    known = modules.select(*place, allowed_layers(F.col("signals")).alias("_allowed"))
+    joined = read.join(known, place, "left")
     layers = F.filter(
         F.coalesce("_allowed", F.array().cast("array<string>")), lambda x: F.array_contains(F.col("_named"), x)
     )
@@ -229,16 +232,26 @@ def live_spend(typed: DataFrame) -> DataFrame:
 
 
 def run_spend(typed: DataFrame) -> DataFrame:
-    """(run_id, usd, calls) where the final report overrides the running total. Streams in update mode."""
+    """(run_id, usd, calls): the final report's total and what was spent after it, or all that was spent."""
     usage = F.col("payload.usage.usd")
     reported = F.col("payload.report.usd")
     final = F.when((F.col("event") == "review.completed") & reported.isNotNull(), F.col("seq"))
-    sums = typed.groupBy("run_id").agg(
-        F.coalesce(F.sum(usage), F.lit(0.0)).alias("_usd"),
+    if typed.isStreaming:
+        # a stream takes one aggregate: the calls of a run (two numbers each) wait there for its last report
+        held = typed.groupBy("run_id").agg(
+            F.max(final).alias("_end"),
+            F.max_by(reported, final).alias("_final"),
+            F.collect_list(F.when(usage.isNotNull(), F.struct("seq", usage.alias("usd")))).alias("_calls"),
+        )
+        later = F.filter("_calls", lambda c: F.col("_end").isNull() | (c["seq"] > F.col("_end")))
+        spent = F.aggregate(later, F.coalesce("_final", F.lit(0.0)), lambda s, c: s + c["usd"])
+        return held.select("run_id", spent.alias("usd"), F.size("_calls").cast("long").alias("calls"))
+    ends = typed.groupBy("run_id").agg(F.max(final).alias("_end"), F.max_by(reported, final).alias("_final"))
+    after = F.col("_end").isNull() | (F.col("seq") > F.col("_end"))
+    return typed.join(ends, "run_id").groupBy("run_id").agg(
+        (F.coalesce(F.first("_final"), F.lit(0.0)) + F.coalesce(F.sum(F.when(after, usage)), F.lit(0.0))).alias("usd"),
         F.count(usage).alias("calls"),
-        F.max_by(reported, final).alias("_final"),
     )
-    return sums.select("run_id", F.coalesce("_final", "_usd").alias("usd"), "calls")
 
 
 def context_counters(typed: DataFrame) -> DataFrame:

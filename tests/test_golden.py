@@ -181,6 +181,20 @@ def test_reconcile_merges_and_splits(spark):
     assert alone.layer == "x" * 100
 
 
+def test_prose_joins_after_the_predicted_drafts(spark):
+    drafts = finding(spark, {"mechanism": "prose first"}, {"mechanism": "predicted second", "prediction": p("at_most", 5.0)})
+    merged = claims.reconcile(drafts).collect()
+    assert [m.mechanism for m in merged] == ["predicted second prose first"]
+
+
+def test_a_large_pair_is_sampled(spark):
+    rows = spark.createDataFrame(
+        [("k", [1.0] * 10, [0.2] * 11), ("l", [1.0] * 12, [0.2] * 12), ("e", [], [0.1])], "k string, a array<double>, b array<double>"
+    )
+    got = {r.k: r.p for r in stats.permutation_p(rows, ["k"]).collect()}
+    assert got["e"] is None and got["k"] < 0.001 and got["l"] < 0.001
+
+
 @pytest.mark.parametrize(("comparator", "kept"), [("at_most", 5.0), ("at_least", 10.0)])
 def test_strictest(spark, comparator, kept):
     f = finding(spark, {"prediction": p(comparator, 10.0)}, {"prediction": p(comparator, 5.0)})

@@ -55,6 +55,26 @@ def test_redelivered_findings_show_once_on_a_stream(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_spend_after_the_report_is_added(spark):
+    rows = [
+        ("r", 1, "agent.finished", '{"usage": {"usd": 1.0}}'),
+        ("r", 2, "review.completed", '{"report": {"usd": 3.0}}'),
+        ("r", 3, "agent.finished", '{"usage": {"usd": 0.2}}'),
+    ]
+    typed, _ = ev.typed_events(spark.createDataFrame(rows, "run_id string, seq bigint, event string, data string"))
+    got = ev.run_spend(typed).first()
+    assert abs(got.usd - 3.2) < 1e-9 and got.calls == 2
+
+
+def test_a_step_is_narrated_for_its_own_repository(spark):
+    steps = spark.createDataFrame(
+        [("A", "r", 1, "triage", "skipped", '{"path":"a.py","specialists":["data"],"why":""}', None)],
+        "repo_id string, run_id string, seq bigint, agent string, action string, detail string, response string",
+    )
+    mods = spark.createDataFrame([("A", "a.py", ["data"]), ("B", "a.py", ["data"])], "repo_id string, path string, signals array<string>")
+    assert ev.narrate(steps, mods).count() == 1
+
+
 def test_history_folds(spark):
     schema = "n int, event string, run_id string, model string, scope string, modules int, started_at string, finished_at string, read int, findings int, usd double, report string"
     rows = [
