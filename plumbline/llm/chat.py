@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +60,9 @@ def best_paths(
 
     Self-joins double the step each time: after k of them a node knows its ancestor 2^k above and the score up to there,
     so a chain of n turns needs log2(n) of them. A path's score is the mean of its nodes', a null score being 0; ties go to
-    the smaller leaf. The joins then run backwards from each chosen leaf and mark its ancestors.
+    the smaller leaf. The joins then run backwards from each chosen leaf and mark its ancestors. A tree takes part only in
+    as many rounds as its own number of nodes asks for, and only nodes short of their root are joined: a long tree makes
+    no work for the short ones.
 
     A node whose parent is null or absent is a root. Nodes on a cycle hang from no root and are left out.
     """
@@ -69,41 +70,41 @@ def best_paths(
         F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("up"), F.col(score).alias("score")
     )
     known = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    sizes = rows.groupBy(F.col("tree").alias("sized")).agg(F.count("*").alias("size"))
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))
-    start = rows.join(known, same, "left").select(
-        "tree", "node", F.col("n").alias("up"), F.lit(0).cast("long").alias("depth"),
-        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"),
+    start = rows.join(known, same, "left").join(sizes, F.col("tree").eqNullSafe(F.col("sized"))).select(
+        "tree", "node", F.col("n").alias("up"), F.col("n").isNotNull().cast("long").alias("depth"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), "size",
     )
-    start = written(start.withColumn("depth", F.col("up").isNotNull().cast("long")), "reply-step")
-    largest = start.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    steps = [start]
-    for _ in range(math.ceil(math.log2(largest)) + 1):
-        step = steps[-1]
-        if step.where("up is not null").isEmpty():
-            break
-        far = step.select(*[F.col(c).alias(f"far_{c}") for c in step.columns])
+    start = written(start, "reply-step")
+    largest = start.agg(F.max("size")).first()[0] or 1
+    steps, whole = [start], start.where("up is null and size <= 1")
+    for k in range((largest - 1).bit_length()):
+        step = steps[-1].where(F.col("size") > 2**k)
+        far = step.select(*[F.col(c).alias(f"far_{c}") for c in ("tree", "node", "up", "depth", "total")])
         join = F.col("tree").eqNullSafe(F.col("far_tree")) & (F.col("up") == F.col("far_node"))
-        above = step.join(far, join, "left")
-        steps.append(
-            written(
-                above.select(
-                    "tree", "node", F.col("far_up").alias("up"),
-                    (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"),
-                    (F.col("total") + F.coalesce("far_total", F.lit(0.0))).alias("total"),
-                ),
-                "reply-step",
-            )
+        above = step.where("up is not null").join(far, join)
+        above = above.select(
+            "tree", "node", F.col("far_up").alias("up"), (F.col("depth") + F.col("far_depth")).alias("depth"),
+            (F.col("total") + F.col("far_total")).alias("total"), "size",
         )
-    whole = steps[-1].where("up is null")
+        steps.append(written(step.where("up is null").unionByName(above), "reply-step"))
+        whole = whole.unionByName(steps[-1].where((F.col("size") <= 2 ** (k + 1)) & F.col("up").isNull()))
     parents = start.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = whole.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     best = Window.partitionBy("tree").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), "node")
     chosen = leaves.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_tree)
-    found = chosen.select("tree", F.col("node").alias("leaf"), "node")
-    for step in reversed(steps[:-1]):
-        hop = step.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        more = found.join(hop, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-        found = written(found.unionByName(more.select("tree", "leaf", F.col("up").alias("node"))), "reply-path")
+    chosen = written(chosen.select("tree", F.col("node").alias("leaf"), "node", "size"), "reply-leaves")
+    found = None
+    for k in range(len(steps) - 2, -1, -1):
+        reached = chosen.where((F.col("size") > 2**k) & (F.col("size") <= 2 ** (k + 1)))
+        reached = reached if found is None else found.unionByName(reached)
+        hop = steps[k].where((F.col("size") > 2**k) & F.col("up").isNotNull())
+        hop = hop.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        more = reached.join(hop, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        found = written(reached.unionByName(more.select("tree", "leaf", F.col("up").alias("node"), "size")), "reply-path")
+    alone = chosen.where("size <= 1")
+    found = alone if found is None else found.unionByName(alone)
     depths = whole.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth")
     joined = found.join(depths, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     return joined.select("tree", "leaf", "node", "depth")
@@ -138,6 +139,7 @@ def format_trees(
         .agg(F.min(F.struct("role", "text", "up", "score")).alias("x"))
         .select("tree", "node", "x.*")
     )
+    alone = written(alone, "replies")
     paths = best_paths(alone, "tree", "node", "up", "score", per_tree)
     said = alone.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     turns = paths.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
