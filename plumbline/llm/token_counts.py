@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from functools import lru_cache
 from pathlib import Path
@@ -11,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import pieces_of
+from plumbline.llm.common import pieces_of, written
 
 #: Fixed value: how the byte-level vocabulary cuts a text before it merges bytes.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ASCII texts, in the syntax of the faster standard module.
+ASCII_PRE_TOKEN = PRE_TOKEN.replace("[^\\s\\p{L}\\p{N}]", "[^\\sA-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
 #: Characters whose class both Unicode tables in use agree on; a text with any other is cut by the library itself.
 AGREED = "\\x00-\\u052f\\u2010-\\u2060\\u20a0-\\u20bf\\u2100-\\u23ff\\u2500-\\u27bf\\u3000-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3"
 
@@ -23,6 +24,7 @@ AGREED = "\\x00-\\u052f\\u2010-\\u2060\\u20a0-\\u20bf\\u2100-\\u23ff\\u2500-\\u2
 def _cutter(vocabulary: str):
     """A function from a text to its pre-tokens, added special strings whole, as the library cuts it."""
     import json
+    import re
 
     import regex
     from tokenizers import Tokenizer
@@ -31,8 +33,11 @@ def _cutter(vocabulary: str):
     specials = sorted((x["content"] for x in json.loads(vocabulary).get("added_tokens") or []), key=len, reverse=True)
     mark = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
     pattern, odd = regex.compile(PRE_TOKEN), regex.compile(f"[^{AGREED}]")
+    ascii_pattern = re.compile(ASCII_PRE_TOKEN, re.ASCII)
 
     def plain(text: str) -> list[str]:
+        if text.isascii():
+            return ascii_pattern.findall(text)
         if odd.search(text):
             return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
         return pattern.findall(text)
@@ -48,125 +53,101 @@ def _cutter(vocabulary: str):
     return cut
 
 
-def pre_token_postings(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """Per chunk of documents and distinct pre-token, the places in the chunk that hold it and how often.
+def distinct_pre_tokens(docs: DataFrame, vocabulary: str, text_col: str, chunk_bytes: int, most_held: int = 400_000) -> DataFrame:
+    """Rows (pre_token, times, pieces), one for each distinct pre-token, its pieces counted once.
 
-    A frequent pre-token costs one row a chunk, not one a document. Places and times are packed into bytes. The row without
-    a pre-token lists the chunk's ids and text sizes.
+    A task adds up its pre-tokens and gives them out whenever ``most_held`` distinct ones are held.
     """
-    shape = T.StructType(
-        [
-            T.StructField("chunk", T.LongType()),
-            T.StructField("held", T.IntegerType()),
-            T.StructField("pre_token", T.StringType()),
-            T.StructField("packed", T.BinaryType()),
-            T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
-            T.StructField("sizes", T.ArrayType(T.LongType())),
-        ]
-    )
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
+    def add_up(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        cut, arrow, chunk = _cutter(shared.value), to_arrow_schema(shape), TaskContext.get().partitionId() << 32
+        cut, held = _cutter(shared.value), Counter()
+
+        def given():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["pre_token", "times"]
+            )
+            held.clear()
+
         for piece in pieces_of(batches, text_col, chunk_bytes):
-            texts, ids = piece.column(text_col).to_pylist(), piece.column(id_col).to_pylist()
-            places: dict[str, list[int]] = {}
-            times: dict[str, list[int]] = {}
-            sizes = []
-            for place, text in enumerate(texts):
-                text = text or ""
-                sizes.append(len(text.encode()))
-                for token, n in Counter(cut(text)).items():
-                    if token in places:
-                        places[token].append(place)
-                        times[token].append(n)
-                    else:
-                        places[token], times[token] = [place], [n]
-            known = [[chunk], [len(ids)], [None], [None], [ids], [sizes]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(known, arrow, strict=True)], schema=arrow)
-            tokens = list(places)
-            for start in range(0, len(tokens), 50_000):
-                some, none = tokens[start : start + 50_000], [None] * len(tokens[start : start + 50_000])
-                packed = [_packed(places[t], times[t]) for t in some]
-                rows = [[chunk] * len(some), [len(ids)] * len(some), some, packed, none, none]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, arrow, strict=True)], schema=arrow)
-            chunk += 1
+            for text in piece.column(text_col).to_pylist():
+                held.update(cut(text or ""))
+                if len(held) > most_held:
+                    yield from given()
+        yield from given()
 
-    return docs.select(id_col, text_col).mapInArrow(run, shape)
+    def count_pieces(batches):
+        import pyarrow as pa
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_str(shared.value)
+        library.no_truncation()
+        library.no_padding()
+        for batch in batches:
+            found = library.encode_batch(batch.column("pre_token").to_pylist(), add_special_tokens=False)
+            pieces = pa.array(map(len, found), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pieces], names=["pre_token", "times", "pieces"])
 
-def _packed(places: list[int], times: list[int]) -> bytes:
-    """Places and times as three bytes each where they fit, or as sixteen."""
-    if places[-1] < 65536 and max(times) < 256:
-        return b"s" + array("H", places).tobytes() + bytes(times)
-    return b"l" + array("q", places).tobytes() + array("q", times).tobytes()
+    added = docs.select(text_col).mapInArrow(add_up, "pre_token string, times long")
+    added = added.groupBy("pre_token").agg(F.sum("times").alias("times"))
+    return added.mapInArrow(count_pieces, "pre_token string, times long, pieces long")
 
 
-def tokens_per_place(dealt: DataFrame, vocabulary: str, most: int = 4_000_000) -> DataFrame:
-    """Rows (chunk, place, tokens, size, id) from postings dealt by pre-token, each distinct one being met in one task only.
+def frequencies(docs: DataFrame, vocabulary: str, frequent: dict[str, int], id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """Rows (doc, pre_token, n, id, n_bytes): a document's pre-tokens outside ``frequent`` with their frequencies.
 
-    The rows that list a chunk's documents give their sizes and ids. A task counts the pieces of a pre-token when it first meets it, joins them to all postings of it, and adds up; its sums
-    are given out whenever ``most`` of them are held.
+    One row more for each document has no pre-token: it gives id, size and the pieces of its frequent pre-tokens. ``doc``
+    numbers the rows of the table.
     """
     shape = T.StructType(
-        [T.StructField(c, T.LongType()) for c in ("chunk", "place", "tokens", "size")]
-        + [T.StructField("id", dealt.schema["ids"].dataType.elementType)]
+        [
+            T.StructField("doc", T.LongType()),
+            T.StructField("pre_token", T.StringType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("id", docs.schema[id_col].dataType),
+            T.StructField("n_bytes", T.LongType()),
+        ]
     )
-    shared = dealt.sparkSession.sparkContext.broadcast(vocabulary)
+    context = docs.sparkSession.sparkContext
+    shared, pieces_of_frequent = context.broadcast(vocabulary), context.broadcast(frequent)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
-        from tokenizers import Tokenizer
 
-        arrow = to_arrow_schema(shape)
+        cut, known, arrow = _cutter(shared.value), pieces_of_frequent.value.get, to_arrow_schema(shape)
 
-        def rows(chunk, places, tokens, sizes, ids):
-            columns = [[chunk] * len(places), places, tokens, sizes, ids]
+        def rows(*columns):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        library = Tokenizer.from_str(shared.value)
-        library.no_truncation()
-        library.no_padding()
-        known: dict[str, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        held = 0
-
-        def given():
-            for chunk, total in sums.items():
-                at = np.flatnonzero(total)
-                yield rows(chunk, at, total[at], [None] * len(at), [None] * len(at))
-            sums.clear()
-
-        for batch in batches:
-            tokens = batch.column("pre_token").to_pylist()
-            fresh = [t for t in dict.fromkeys(tokens) if t is not None and t not in known]
-            known.update(zip(fresh, map(len, library.encode_batch(fresh, add_special_tokens=False)), strict=True))
-            rest = (batch.column(c).to_pylist() for c in ("chunk", "held", "packed", "ids", "sizes"))
-            for token, chunk, n, data, ids, sizes in zip(tokens, *rest, strict=True):
-                if token is None:
-                    yield rows(chunk, range(n), [0] * n, sizes, ids)
-                    continue
-                if chunk not in sums:
-                    if held > most:
-                        yield from given()
-                        held = 0
-                    sums[chunk] = np.zeros(n, np.int64)
-                    held += n
-                if data[:1] == b"s":
-                    k = len(data) // 3
-                    at, times = np.frombuffer(data, np.uint16, k, 1), np.frombuffer(data, np.uint8, k, 1 + 2 * k)
-                else:
-                    at, times = np.frombuffer(data, np.int64, offset=1).reshape(2, -1)
-                sums[chunk][at] += times * np.int64(known[token])
-        yield from given()
+        doc = TaskContext.get().partitionId() << 40
+        for piece in pieces_of(batches, text_col, chunk_bytes):
+            first, sums, sizes = doc, [], []
+            at, rare, times = [], [], []
+            for text in piece.column(text_col).to_pylist():
+                text, total = text or "", 0
+                for token, n in Counter(cut(text)).items():
+                    pieces = known(token)
+                    if pieces is None:
+                        at.append(doc)
+                        rare.append(token)
+                        times.append(n)
+                    else:
+                        total += n * pieces
+                sums.append(total)
+                sizes.append(len(text.encode()))
+                doc += 1
+            none = [None] * len(sums)
+            yield rows(range(first, doc), none, sums, piece.column(id_col).to_pylist(), sizes)
+            for k in range(0, len(at), 50_000):
+                part = slice(k, k + 50_000)
+                none = [None] * len(at[part])
+                yield rows(at[part], rare[part], times[part], none, none)
 
-    return dealt.mapInArrow(run, shape)
+    return docs.select(id_col, text_col).mapInArrow(run, shape)
 
 
 def token_counts(
@@ -176,21 +157,35 @@ def token_counts(
     text_col: str = "text",
     limit: int = 1024,
     chunk_bytes: int = 8_000_000,
+    most_frequent: int = 1_000_000,
 ) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit), one for each row of ``docs``.
 
-    Pre-tokens are counted per document, the pieces of each distinct pre-token are counted once, and both are joined and
-    summed; no id of a token is kept. A null text counts as empty (0 bytes, 0 tokens). Repeated rows and repeated or null
-    ids each keep their own row; other columns are not read; an empty table gives no rows. ``vocabulary_file`` is a
-    byte-level vocabulary of the ``tokenizers`` library, read on the driver and sent to the tasks.
+    The pieces of each distinct pre-token are counted once, joined to the pre-token frequencies of the documents, and
+    summed; no id of a token is kept. Pre-tokens that are at least one in ``most_frequent`` of all occurrences, of which
+    there cannot be more than ``most_frequent``, go to the tasks and are joined there; the others are joined by a shuffle,
+    in which no key can be hot. A null text counts as empty (0 bytes, 0 tokens). Repeated rows and repeated or null ids
+    each keep their own row; other columns are not read; an empty table gives no rows. ``vocabulary_file`` is a byte-level
+    vocabulary of the ``tokenizers`` library, read on the driver and sent to the tasks.
     """
     vocabulary = Path(vocabulary_file).read_text(encoding="utf-8")
-    postings = pre_token_postings(docs, vocabulary, id_col, text_col, chunk_bytes)
-    route = F.coalesce("pre_token", F.concat(F.lit("chunk "), F.col("chunk").cast("string")))
-    dealt = postings.withColumn("route", route).repartition("route").drop("route")
+    pieces = written(distinct_pre_tokens(docs, vocabulary, text_col, chunk_bytes), "pre-tokens")
+    total = pieces.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") * most_frequent >= total
+    known = pieces.where(often).select("pre_token", "pieces").toArrow()
+    frequent = dict(zip(known.column("pre_token").to_pylist(), known.column("pieces").to_pylist(), strict=True))
+    counted = written(frequencies(docs, vocabulary, frequent, id_col, text_col, chunk_bytes), "frequencies")
+    rare = (
+        counted.where(F.col("pre_token").isNotNull())
+        .select("doc", "pre_token", "n")
+        .join(pieces.where(~often).select("pre_token", "pieces"), "pre_token")
+        .select("doc", (F.col("n") * F.col("pieces")).alias("n"))
+    )
     return (
-        tokens_per_place(dealt, vocabulary)
-        .groupBy("chunk", "place")
-        .agg(F.max("id").alias(id_col), F.max("size").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+        counted.where(F.col("pre_token").isNull())
+        .select("doc", "n", "id", "n_bytes")
+        .unionByName(rare, allowMissingColumns=True)
+        .groupBy("doc")
+        .agg(F.max("id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
         .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

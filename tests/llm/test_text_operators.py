@@ -80,9 +80,26 @@ def test_token_counts(spark, odd, empty):
     want = [(k, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in ODD]
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    rarely = token_counts.token_counts(odd, path, chunk_bytes=300, most_frequent=4).collect()
+    assert sorted(map(str, rarely)) == sorted(map(str, got))
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_ascii_texts_are_cut_as_the_library_cuts_them():
+    public = pytest.importorskip("public_tokenizers")
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    library, cut = Tokenizer.from_file(path).pre_tokenizer, token_counts._cutter(Path(path).read_text())
+    rnd = np.random.default_rng(8)
+    for _ in range(3000):
+        some = rnd.choice(128, 12)
+        text = "".join(map(chr, rnd.choice([*some, 32, 39, 115, 10], 30)))
+        assert cut(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+
+
 def brute_secrets(text):
     assign = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
