@@ -20,16 +20,29 @@ ASCII_PRE_TOKEN = PRE_TOKEN.replace("[^\\s\\p{L}\\p{N}]", "[^\\sA-Za-z0-9]").rep
 AGREED = "\\x00-\\u052f\\u2010-\\u2060\\u20a0-\\u20bf\\u2100-\\u23ff\\u2500-\\u27bf\\u3000-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _library(vocabulary: str):
+    """The library's tokenizer, once in a Python worker; a task has one core, so the library starts no threads of its own."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    library = Tokenizer.from_str(vocabulary)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
+@lru_cache(maxsize=1)
 def _cutter(vocabulary: str):
     """A function from a text to its pre-tokens, added special strings whole, as the library cuts it."""
     import json
     import re
 
     import regex
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_str(vocabulary)
+    library = _library(vocabulary)
     specials = sorted((x["content"] for x in json.loads(vocabulary).get("added_tokens") or []), key=len, reverse=True)
     mark = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
     pattern, odd = regex.compile(PRE_TOKEN), regex.compile(f"[^{AGREED}]")
@@ -53,7 +66,7 @@ def _cutter(vocabulary: str):
     return cut
 
 
-def distinct_pre_tokens(docs: DataFrame, vocabulary: str, text_col: str, chunk_bytes: int, most_held: int = 400_000) -> DataFrame:
+def distinct_pre_tokens(docs: DataFrame, vocabulary: str, text_col: str, chunk_bytes: int, most_held: int = 200_000) -> DataFrame:
     """Rows (pre_token, times, pieces), one for each distinct pre-token, its pieces counted once.
 
     A task adds up its pre-tokens and gives them out whenever ``most_held`` distinct ones are held.
@@ -80,11 +93,8 @@ def distinct_pre_tokens(docs: DataFrame, vocabulary: str, text_col: str, chunk_b
 
     def count_pieces(batches):
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(shared.value)
-        library.no_truncation()
-        library.no_padding()
+        library = _library(shared.value)
         for batch in batches:
             found = library.encode_batch(batch.column("pre_token").to_pylist(), add_special_tokens=False)
             pieces = pa.array(map(len, found), pa.int64())
@@ -156,7 +166,7 @@ def token_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 1024,
-    chunk_bytes: int = 8_000_000,
+    chunk_bytes: int = 4_000_000,
     most_frequent: int = 1_000_000,
 ) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit), one for each row of ``docs``.
