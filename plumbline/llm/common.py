@@ -24,6 +24,12 @@ def remainder_of(id_col: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that stand for an id and a text together; a null is none of the other values."""
+    known = F.col(id_col).cast("string")
+    return F.md5(F.concat_ws(":", F.coalesce(F.length(known), F.lit(-1)), known, F.col(text_col)).cast("binary"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later readers survive a lost executor and start no replay."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

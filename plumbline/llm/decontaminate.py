@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import row_key, written
 
 #: Fingerprints of 64 bits in four blocks; two within RADIUS differ by three bits at most in one block of 16.
 BLOCKS, WIDTH, NEAR = 4, 16, 3
@@ -142,6 +142,7 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` in which no benchmark item is found."""
-    found = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("leaked")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("leaked")), "left_anti")
+    """The rows and columns of ``docs`` in which no benchmark item is found; each row answers for its own text only."""
+    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    found = find_leaks(keyed, benchmark, "_row_key", text_col).select(F.col("_row_key").alias("_leaked")).distinct()
+    return keyed.join(found, F.col("_row_key") == F.col("_leaked"), "left_anti").drop("_row_key")

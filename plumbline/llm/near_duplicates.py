@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import pieces_of, written
+from plumbline.llm.common import pieces_of, row_key, written
 from plumbline.llm.components import components
 from plumbline.llm.substrings import _MULTIPLIERS, _Codes, window_hashes
 
@@ -214,7 +214,18 @@ def near_duplicate_groups(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: that with the smallest id, and one row of it."""
-    kept = near_duplicate_groups(docs, id_col, text_col, words, percent).where("kept").select(F.col(id_col).alias("kept_id"))
-    rows = docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """The rows of ``docs`` with one document of each group: that with the smallest id, and one row of it.
+
+    Groups are made of (id, text) pairs, so two texts under one id are two documents. A row of a null id is in no group and
+    stays, whatever its text; so does one row of each id and text that has no shingle.
+    """
+    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    named = keyed.where(F.col(id_col).isNotNull())
+    groups = near_duplicate_groups(named, "_row_key", text_col, words, percent).distinct()
+    groups = groups.select(F.col("_row_key").alias("_key"), "n_shingles", "component_id")
+    ids = named.select("_row_key", F.col(id_col).alias("_id")).distinct()
+    linked = groups.where("n_shingles > 0").join(ids, F.col("_key") == F.col("_row_key"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    kept = written(first.unionByName(groups.where("n_shingles = 0").select("_key")), "kept")
+    rows = named.join(kept, F.col("_row_key") == F.col("_key"), "left_semi").dropDuplicates(["_row_key"])
+    return rows.unionByName(keyed.where(F.col(id_col).isNull())).drop("_row_key")

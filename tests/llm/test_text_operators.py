@@ -235,6 +235,16 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates.keep_one_of_each(odd).where("doc_id = 6").count() == 1
 
 
+def test_rows_are_kept_and_dropped_by_id_and_text(spark):
+    one, two, near = sentence(80), sentence(81), f"{sentence(80, 59)} end"
+    texts = [(None, one), (None, two), (None, None), (7, one), (7, two), (7, one), (3, near), (9, None), (9, ""), (9, "")]
+    got = Counter((r.doc_id, r.text) for r in near_duplicates.keep_one_of_each(docs_of(spark, texts)).collect())
+    assert got == Counter([(None, one), (None, two), (None, None), (7, two), (3, near), (9, None), (9, "")])
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in decontaminate.drop_leaks(docs_of(spark, texts), bench).collect())
+    assert left == Counter(x for x in texts if x[1] not in (one, near))
+
+
 def test_every_bin_fills_and_agrees_like_the_sets():
     rnd = np.random.default_rng(1)
     a = rnd.integers(0, 2**63, 500).astype(np.uint64)
