@@ -1,22 +1,19 @@
-"""Benchmark items inside documents: item-sized windows, SimHash with a multi-index, exact similarity of shingle counts.
+"""Benchmark items inside documents: item-sized windows, a prefix index of their rarest shingles, exact similarity of counts.
 
 Everything is a DataFrame operation: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import row_key, written
 
-#: Fingerprints of 64 bits in four blocks; two within RADIUS differ by three bits at most in one block of 16.
-BLOCKS, WIDTH, NEAR = 4, 16, 3
-RADIUS = BLOCKS * (NEAR + 1) - 1
 #: A benchmark of more shingles than this is joined by shuffle; a row takes some 40 bytes.
 MOST_BROADCAST = 1_000_000
+#: Kept off a bound before it is rounded up, so that a similarity of just the least one is within it.
+SLACK = 1e-9
 
 
 def word_hashes(text: Column) -> Column:
@@ -32,26 +29,6 @@ def shingles(hashes: Column, words: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(words)]))
 
 
-def simhashes(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows (keys, print) from rows (keys, words): each bit is the sign of the vote of all words, each as often as it stands."""
-    votes = rows.select(*keys, F.explode("words").alias("w")).groupBy(*keys)
-    bit = [F.sum(F.shiftrightunsigned("w", b).bitwiseAND(F.lit(1).cast("bigint")) * 2 - 1).alias(f"b{b}") for b in range(64)]
-    counted = votes.agg(*bit)
-    sign = F.lit(0).cast("bigint")
-    for b in range(64):
-        sign = sign.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(0))
-    return counted.select(*keys, sign.alias("print"))
-
-
-def _block(fingerprint: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("bigint")).cast("int")
-
-
-def _nearby() -> list[int]:
-    """All changes of up to NEAR bits in a block."""
-    return [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(WIDTH), n)]
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -71,9 +48,10 @@ def find_leaks(
        says where the window begins. Windows at which fewer shingles agree than any edit of the item can leave at one
        beginning are not looked at: a similar window shares 2s/(1+s) of its shingles, and each of the others can shift the
        rest once.
-    2. Distinct windows get a SimHash of their words. The index holds every item's blocks with all changes of up to
-       ``NEAR`` bits, so that each item within ``RADIUS`` bits meets the window in one block at least.
-    3. Pairs within the radius are compared exactly.
+    2. An item at that similarity shares all but a few of its shingles with the window, so of any that many and one more at
+       least one is shared. The index holds that many of each item's shingles, those that the fewest items have; windows of
+       its length that hold one of them are its candidates, and no pair at the similarity is missed here.
+    3. Candidates are compared exactly.
 
     Words are lower-cased runs of letters and digits. A null or blank text holds nothing; an item of fewer than ``words``
     words has no shingle and is never found; a document shorter than an item is one window. Repeated rows and ids give one
@@ -84,7 +62,8 @@ def find_leaks(
     texts = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"))
 
     spots = items.select("length", F.posexplode(shingles(F.col("words"), words)).alias("place", "shingle")).distinct()
-    if spots.count() <= MOST_BROADCAST:
+    small = spots.count() <= MOST_BROADCAST
+    if small:
         spots = F.broadcast(spots)
     met = (
         texts.select("id", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), words)).alias("at", "shingle"))
@@ -94,7 +73,7 @@ def find_leaks(
     )
     own = F.col("length") - (words - 1)
     share = 2 * similarity / (1 + similarity)
-    needed = F.ceil(own * share / (own * (1 - share) + 1))
+    needed = F.ceil(own * share / (own * (1 - share) + 1) - SLACK)
     start = F.greatest(F.lit(0), F.least(F.col("begin"), F.col("n") - F.col("length")))
     windows = met.where(F.col("agree") >= F.least(needed, F.col("n"))).select("id", "length", start.alias("start")).distinct()
     windows = written(windows.withColumnRenamed("id", "window_id"), "windows")
@@ -106,27 +85,22 @@ def find_leaks(
     )
     runs = seen.select("k", "j", "length", "words").dropDuplicates(["k", "j", "length"])
 
-    blocks = range(BLOCKS)
-    prints = simhashes(runs, "k", "j", "length")
-    probes = prints.select(
-        "*", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("value")) for b in blocks])).alias("x")
-    ).select("k", "j", "length", "print", "x.*")
-    changes = F.array(*[F.lit(m) for m in _nearby()])
-    index = simhashes(items, "item", "length").withColumnRenamed("print", "item_print")
-    index = index.select("item", "length", "item_print", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    value = F.coalesce(*[F.when(F.col("block") == b, _block(F.col("item_print"), b)) for b in blocks])
-    index = index.withColumn("change", F.explode(changes)).select(
-        "item", "length", "item_print", "block", value.bitwiseXOR(F.col("change")).alias("value")
-    )
-    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = probes.join(index, ["length", "block", "value"]).where(apart <= RADIUS).select("k", "j", "item", "length").distinct()
+    shared = F.ceil(own * similarity - SLACK)
+    listed = items.select("item", "length", F.explode(shingles(F.col("words"), words)).alias("shingle"))
+    listed = written(listed.groupBy("item", "length", "shingle").agg(F.count("*").alias("there")), "listed")
+    rare = listed.join(listed.groupBy("length", "shingle").agg(F.count("*").alias("items")), ["length", "shingle"])
+    before = Window.partitionBy("item").orderBy("items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = rare.withColumn("before", F.coalesce(F.sum("there").over(before), F.lit(0))).where(F.col("before") <= own - shared)
+    prefix = prefix.select("item", "length", "shingle")
+    if small:
+        prefix, listed = F.broadcast(prefix), F.broadcast(listed)
+    probes = runs.select("k", "j", "length", F.explode(F.array_distinct(shingles(F.col("words"), words))).alias("shingle"))
+    near = probes.join(prefix, ["length", "shingle"]).select("k", "j", "item", "length").distinct()
 
     said = near.join(runs, ["k", "j", "length"])
     counts = said.select("k", "j", "length", "item", F.size("words").alias("n"), F.explode(shingles(F.col("words"), words)).alias("shingle"))
     counts = counts.groupBy("k", "j", "length", "item", "n", "shingle").agg(F.count("*").alias("here"))
-    listed = items.select("item", F.explode(shingles(F.col("words"), words)).alias("shingle"))
-    listed = listed.groupBy("item", "shingle").agg(F.count("*").alias("there"))
-    common = counts.join(listed, ["item", "shingle"]).groupBy("k", "j", "length", "item", "n")
+    common = counts.join(listed, ["item", "length", "shingle"]).groupBy("k", "j", "length", "item", "n")
     both = common.agg(F.sum(F.least("here", "there")).alias("both"))
     total = F.col("n") - (words - 1) + own - F.col("both")
     alike = both.withColumn("similarity", F.col("both") / total).where(F.col("similarity") >= similarity)

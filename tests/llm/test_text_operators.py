@@ -171,6 +171,24 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_just_at_the_similarity_are_all_found(spark):
+    rnd = np.random.default_rng(11)
+    words = lambda n: [f"w{x:x}" for x in rnd.integers(0, 2**60, n)]
+    items, texts, want = [], [], {}
+    for k in range(450):
+        item = words((39, 59, 50)[k % 3])
+        own = len(item) - 4
+        # the most words at the end that can differ, or be cut off, at a similarity of 0.8
+        differ, cut = (max(x for x in range(own) if f(x) >= 0.8) for f in (lambda x: (own - x) / (own + x), lambda x: (own - x) / own))
+        text = item[: len(item) - differ] + words(differ) if k % 2 else item[: len(item) - cut]
+        items.append((k, " ".join(item)))
+        texts.append((k, " ".join(words(30) + text + words(30) if k % 2 else text)))
+        want[k, k] = (own - differ) / (own + differ) if k % 2 else (own - cut) / own
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert min(want.values()) == 0.8 and max(want.values()) < 0.85 and got == pytest.approx(want)
+
+
 def test_repeats(spark, odd, empty):
     shared = sentence(70, 45)
     texts = [(k, f"{sentence(k, 20)} {shared} {sentence(k + 500, 20)}") for k in range(30)] + [(40, sentence(40, 200)), (41, sentence(40, 200))]
