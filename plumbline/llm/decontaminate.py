@@ -53,16 +53,20 @@ def find_leaks(
        its length that hold one of them are its candidates, and no pair at the similarity is missed here.
     3. Candidates are compared exactly.
 
-    Words are lower-cased runs of letters and digits. A null or blank text holds nothing; an item of fewer than ``words``
-    words has no shingle and is never found; a document shorter than an item is one window. Repeated rows and ids give one
-    row for each item; null ids are reported as null. Other columns are not read; empty tables give no rows.
+    Words are lower-cased runs of letters and digits. A null or blank text holds nothing and is never found; an item of fewer
+    than ``words`` words is one shingle, found where its words follow each other; a document shorter than an item is one
+    window. Each distinct item text is searched by itself: a (document, item) pair has one row, for the best of the texts
+    under that item id, and null ids are reported as null. Other columns are not read; empty tables give no rows.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text)).alias("words")).distinct()
-    items = written(items.where(F.size("words") >= words).withColumn("length", F.size("words")), "items")
+    named = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    named = named.withColumns({"length": F.size("words"), "item": F.md5(F.array_join("words", " ").cast("binary"))})
+    named = written(named.dropDuplicates(["item_id", "item"]), "items")
+    every = named.select("item", "length", "words").dropDuplicates(["item"])
+    items = every.where(F.col("length") >= words)
     texts = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"))
 
     spots = items.select("length", F.posexplode(shingles(F.col("words"), words)).alias("place", "shingle")).distinct()
-    small = spots.count() <= MOST_BROADCAST
+    small = spots.count() + named.count() <= MOST_BROADCAST
     if small:
         spots = F.broadcast(spots)
     met = (
@@ -106,10 +110,18 @@ def find_leaks(
     alike = both.withColumn("similarity", F.col("both") / total).where(F.col("similarity") >= similarity)
 
     found = seen.select("id", "k", "j", "length", "start").join(alike.drop("n", "both"), ["k", "j", "length"])
+    found = found.select("id", "item", "similarity", "start")
+    for length in sorted(x.length for x in every.where(F.col("length") < words).select("length").distinct().collect()):
+        brief = every.where(F.col("length") == length).select("item", shingles(F.col("words"), length)[0].alias("shingle"))
+        said = texts.select("id", F.posexplode(shingles(F.col("words"), length)).alias("start", "shingle"))
+        said = said.join(F.broadcast(brief) if small else brief, "shingle").groupBy("id", "item").agg(F.min("start").alias("start"))
+        found = found.unionByName(said.select("id", "item", F.lit(1.0).alias("similarity"), "start"))
+    names = named.select("item", "item_id")
+    found = found.join(F.broadcast(names) if small else names, "item").select("id", "item_id", "similarity", "start")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
-    return found.groupBy("id", "item").agg(best).select(
+    return found.groupBy("id", "item_id").agg(best).select(
         F.col("id").alias(id_col),
-        F.col("item").alias(item_col),
+        F.col("item_id").alias(item_col),
         F.col("best.similarity").alias("similarity"),
         (-F.col("best.s")).cast("long").alias("start"),
     )

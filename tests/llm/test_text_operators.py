@@ -171,6 +171,15 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_every_item_text_is_found(spark):
+    one, two, three = sentence(60, 20), sentence(61, 20), sentence(62, 30)
+    rows = [(1, "two words"), (2, "漢字仮名"), (3, one), (3, two), (None, three), (4, "yes"), (5, None), (6, " .")]
+    bench = spark.createDataFrame(rows + rows[:1], "item_id long, text string")
+    texts = [(1, "now Two, words and two words"), (2, "a。漢字仮名。b"), (3, f"x {one}"), (4, f"y y {two} z"), (5, three), (6, f"{one} {two}"), (7, "two other words"), (8, "words"), (9, "漢字")]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {(1, 1): (1.0, 1), (2, 2): (1.0, 1), (3, 3): (1.0, 1), (4, 3): (1.0, 2), (5, None): (1.0, 0), (6, 3): (1.0, 0)}
+
+
 def test_leaks_just_at_the_similarity_are_all_found(spark):
     rnd = np.random.default_rng(11)
     words = lambda n: [f"w{x:x}" for x in rnd.integers(0, 2**60, n)]
