@@ -10,7 +10,6 @@ from plumbline.operators.scan import running_sum, spread_join
 from plumbline.session import cut_lineage
 
 MAX_EXACT = 10
-MAX_POOL = 22
 RESAMPLES = 20_000
 STEP = 10_000
 
@@ -58,28 +57,47 @@ def fisher_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def permutation_exact(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """``samples``: keys, a array<double>, b array<double>, at most ``MAX_POOL`` values together.
+    """``samples``: keys, a array<double>, b array<double>, at most ``MAX_EXACT`` values in ``a`` and any number in ``b``.
 
-    Every relabelling is one row of a generated range; the two means come from the arrays beside it.
-    Pairs beyond the exact size are left to ``permutation_sampled``.
+    Only left sides are listed, as rows: each step takes the next larger value in use and how often, up to ``MAX_EXACT``
+    steps. Equal values are one, and a row weighs as many relabellings as choose among them. Pairs with more values in
+    ``a`` are left to ``permutation_sampled``.
     """
     samples = cut_lineage(samples)
     sized = samples.withColumn("_n", F.size("a")).withColumn("_m", F.size("b"))
-    small = sized.filter(
-        (F.col("_n") > 0) & (F.col("_m") > 0) & (F.col("_n") <= MAX_EXACT) & (F.col("_n") + F.col("_m") <= MAX_POOL)
-    )
+    small = sized.filter((F.col("_n") > 0) & (F.col("_m") > 0) & (F.col("_n") <= MAX_EXACT))
     pooled = small.withColumn("_pool", F.concat("a", "b")).withColumn("_sum", _sum(F.col("_pool")))
     observed = F.abs(_sum(F.col("a")) / F.col("_n") - _sum(F.col("b")) / F.col("_m"))
-    masks = pooled.withColumn("_observed", observed).withColumn(
-        "mask", F.explode(F.expr("sequence(0L, shiftleft(1L, _n + _m) - 1)"))
-    )
-    chosen = masks.filter(F.bit_count("mask") == F.col("_n"))
-    left = F.expr(
-        "aggregate(transform(_pool, (v, i) -> if(bit_get(mask, i) = 1, v, 0D)), 0D, (s, v) -> s + v)"
+    pooled = pooled.withColumn("_observed", observed).withColumn("_values", F.array_sort(F.array_distinct("_pool")))
+    often = F.transform("_values", lambda v: F.size(F.filter("_pool", lambda x: x == v)))
+    beyond = F.transform("_values", lambda v: F.size(F.filter("_pool", lambda x: x > v)))
+    sides = pooled.withColumn("_often", often).withColumn("_beyond", beyond).select(
+        *keys, "_n", "_m", "_sum", "_observed", "_values", "_often", "_beyond",
+        F.lit(-1).alias("_at"), F.lit(0).alias("_taken"), F.lit(0.0).alias("_left"), F.lit(1.0).alias("_ways"),
     )
-    gap = F.abs(left / F.col("_n") - (F.col("_sum") - left) / F.col("_m"))
-    counted = chosen.withColumn("_gap", gap).groupBy(*keys).agg(
-        ratio(F.count_if(F.col("_gap") >= F.col("_observed") - 1e-12), F.count(F.lit(1))).alias("p")
+    for level in range(MAX_EXACT):
+        whole = F.col("_taken") == F.col("_n")
+        last = F.size("_values") - 1
+        at = F.when(whole, F.array("_at")).when(F.col("_at") < last, F.sequence(F.col("_at") + 1, last))
+        sides = sides.withColumn("_whole", whole).withColumn("_at", F.explode(at))
+        short = F.col("_n") - F.col("_taken")
+        most, least = F.least(F.col("_often")[F.col("_at")], short), F.greatest(F.lit(1), short - F.col("_beyond")[F.col("_at")])
+        took = F.when(F.col("_whole"), F.array(F.lit(0))).when(least <= most, F.sequence(least, most))
+        sides = sides.withColumn("_took", F.explode(took))
+        ways = F.expr("aggregate(if(_took > 0, sequence(1, _took), array()), 1D, (w, i) -> w * (_often[_at] - _took + i) / i)")
+        sides = sides.withColumns(
+            {
+                "_left": F.col("_left") + F.col("_took") * F.col("_values")[F.col("_at")],
+                "_ways": F.col("_ways") * ways,
+                "_taken": F.col("_taken") + F.col("_took"),
+            }
+        )
+        if level == 1:
+            # so that one large pair is worked on by all cores
+            sides = sides.repartition(*keys, "_at", "_taken", "_left")
+    gap = F.abs(F.col("_left") / F.col("_n") - (F.col("_sum") - F.col("_left")) / F.col("_m"))
+    counted = sides.withColumn("_gap", gap).groupBy(*keys).agg(
+        ratio(F.sum(F.when(F.col("_gap") >= F.col("_observed") - 1e-12, F.col("_ways")).otherwise(0.0)), F.sum("_ways")).alias("p")
     )
     return samples.join(counted, keys, "left")
 
@@ -113,7 +131,7 @@ def permutation_sampled(samples: DataFrame, keys: list[str], resamples: int = RE
 
 
 def permutation_p(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """A p-value for every pair with values on both sides: exact where all relabellings can be listed, else sampled."""
+    """A p-value for every pair with values on both sides: exact for up to ``MAX_EXACT`` values on the left, else sampled."""
     exact = permutation_exact(samples, keys)
     rest = exact.filter("p is null and size(a) > 0 and size(b) > 0")
     sides = [rest.select(*keys, F.lit(side).alias("side"), F.posexplode(side).alias("at", "value")) for side in ("a", "b")]

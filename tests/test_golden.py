@@ -195,6 +195,22 @@ def test_a_large_pair_is_sampled(spark):
     assert got["e"] is None and got["k"] < 0.001 and got["l"] < 0.001
 
 
+def test_permutation_is_exact_for_any_right_side(spark):
+    from itertools import combinations
+
+    rows = [
+        ("few", [0.9, 0.7, 0.65], [round(0.05 * k * k % 1, 3) for k in range(20)]),
+        ("ten", [round(0.3 + 0.061 * k, 3) for k in range(10)], [round(0.05 * k, 3) for k in range(13)]),
+        ("ties", [1.0, 0.5, 0.5, 0.75], [0.5] * 9 + [0.25] * 8),
+    ]
+    got = {r.k: r.p for r in stats.permutation_p(spark.createDataFrame(rows, "k string, a array<double>, b array<double>"), ["k"]).collect()}
+    for k, a, b in rows:
+        pool, n, m = a + b, len(a), len(b)
+        seen, total = abs(sum(a) / n - sum(b) / m) - 1e-12, sum(pool)
+        far = [abs(sum(c) / n - (total - sum(c)) / m) >= seen for c in combinations(pool, n)]
+        assert got[k] == pytest.approx(sum(far) / len(far), abs=1e-12), k
+
+
 @pytest.mark.parametrize(("comparator", "kept"), [("at_most", 5.0), ("at_least", 10.0)])
 def test_strictest(spark, comparator, kept):
     f = finding(spark, {"prediction": p(comparator, 10.0)}, {"prediction": p(comparator, 5.0)})
