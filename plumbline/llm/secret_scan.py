@@ -1,4 +1,4 @@
-"""Secrets in texts: one automaton over the bytes finds where a rule can end, anchored ones then read the exact spans."""
+"""Secrets in texts: one automaton over the bytes finds where a rule can begin, anchored ones then read the exact spans."""
 
 from __future__ import annotations
 
@@ -95,7 +95,8 @@ def secrets_in(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 32_000_000) -> DataFrame:
     """Rows (id, spans), one for each row of ``docs``; a span is (kind, start, end) in code points, end exclusive.
 
-    All rules are scanned in one pass over the bytes. Spans of one kind never overlap; those of two kinds may. A null or
+    One pass over the bytes, by the rules' beginnings (``CORES``), marks the lines that can hold a span; the rule's own automaton
+    then reads the spans of each marked line. Spans of one kind never overlap; those of two kinds may. A null or
     empty text has no spans. Repeated rows and null ids keep their own rows; other columns are not read; an empty table
     gives no rows. A text is read whole, at any length.
     """
