@@ -70,6 +70,12 @@ def test_fingerprints(spark, odd, empty):
     assert len(rows) == len(ODD) and len({r.fingerprint for r in rows if r.doc_id == 6}) == 1
 
 
+def test_a_pair_that_never_peels_is_an_error(spark):
+    told = spark.createDataFrame([(1, list(range(1, 3001)), [])], "rid long, own array<long>, new array<long>")
+    with pytest.raises(RuntimeError, match="peels"):
+        fingerprints.differing(told, {"edited": ("own", "new")}, 0)
+
+
 def test_token_counts(spark, odd, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
