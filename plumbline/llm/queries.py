@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    byte_bpe,
     chat,
     decontaminate,
+    fill_middle,
     fingerprints,
     language,
     mixing,
     near_duplicates,
     quality,
     secret_scan,
+    spelling,
     substrings,
     token_counts,
 )
@@ -112,6 +115,37 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_trees(chat.replies_in_order(rows, "conv_id", "turn", "role", "text")))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters or more with the more frequent word each is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document rearranged for filling in its middle, digested with the text read back from it."""
+    formed = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return formed.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded by the public merge ranks and decoded again, both digested."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(encoded, ranks)
+
+
 ORACLES["op10_chat_formatting"] = r"""
 WITH given AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -168,3 +202,55 @@ SELECT k.doc_id, CAST(len(k.s) AS BIGINT) AS n_shingles,
   k.doc_id = CASE WHEN len(k.s) = 0 THEN k.doc_id ELSE r.root END AS kept
 FROM keyed k JOIN classes c ON c.s = k.s JOIN roots r ON r.id = c.id
 """
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS said
+  FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+steps AS (SELECT run, n, flatten(list_transform(regexp_extract_all(hex(encode(said)), '..'),
+    lambda b: [CAST('0x' || b AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS bits FROM counted),
+checked AS (SELECT run, n, xor(4294967295, list_reduce(bits,
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), CAST(4294967295 AS BIGINT))) AS h FROM steps),
+cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM checked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+holes AS (SELECT DISTINCT word, n, p, substr(word, 1, p - 1) AS before, substr(word, p + 1) AS after FROM places),
+shorter AS (SELECT DISTINCT word, n, before || after AS other FROM holes),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b
+    ON a.p = b.p AND a.before = b.before AND a.after = b.after AND a.word <> b.word
+  UNION ALL SELECT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON w.word = s.other
+  UNION ALL SELECT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON w.word = s.other),
+sums AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+best AS (SELECT word, other, other_n FROM near WHERE other_n >= 10 * n
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) = 1),
+walk AS (
+  SELECT word, word AS here, 0 AS depth FROM words
+  UNION ALL SELECT k.word, b.other, k.depth + 1 FROM walk k JOIN best b ON b.word = k.here),
+roots AS (SELECT word, arg_max(here, depth) AS root FROM walk GROUP BY word)
+SELECT w.word, b.other AS form, r.root, w.n, coalesce(s.n_near, 0) AS n_near, b.other_n AS form_n
+FROM words w JOIN roots r USING (word) LEFT JOIN sums s USING (word) LEFT JOIN best b USING (word)
+"""
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT doc_id, text, n, form, array_to_string(list_slice(u, 1, least(a, b)), '') AS pre,
+    array_to_string(list_slice(u, least(a, b) + 1, greatest(a, b)), '') AS mid,
+    array_to_string(list_slice(u, greatest(a, b) + 1, n), '') AS suf FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
