@@ -153,8 +153,8 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int, ove
 
 
 def with_ends(chunks: DataFrame, pattern: str) -> DataFrame:
-    """Each chunk with the places (within it) where its own pre-tokens end, but for those that more text could move."""
-    shape = T.StructType([*chunks.schema.fields, T.StructField("ends", IDS)])
+    """Each chunk with its size and the places (within it) where its own pre-tokens end, but for those that more text could move."""
+    shape = T.StructType([*chunks.schema.fields, T.StructField("size", T.IntegerType()), T.StructField("ends", IDS)])
 
     def run(batches):
         from itertools import accumulate
@@ -163,12 +163,12 @@ def with_ends(chunks: DataFrame, pattern: str) -> DataFrame:
 
         cut = cutter(pattern)
         for piece in pieces_of(batches, "text", 4_000_000):
-            found = []
-            for text, last in zip(piece.column("text").to_pylist(), piece.column("last").to_pylist(), strict=True):
+            found, texts = [], piece.column("text").to_pylist()
+            for text, last in zip(texts, piece.column("last").to_pylist(), strict=True):
                 sure = len(text) if last else len(text) - UNSURE
                 found.append([e for e in accumulate(map(len, cut(text))) if e <= sure])
-            for batch in piece.append_column("ends", _lists(found, pa.list_(pa.int32()))).to_batches():
-                yield batch
+            sized = piece.append_column("size", pa.array(map(len, texts), pa.int32()))
+            yield from sized.append_column("ends", _lists(found, pa.list_(pa.int32()))).to_batches()
 
     return chunks.mapInArrow(run, shape)
 
@@ -186,10 +186,9 @@ def stitches(chunks: DataFrame, overlap: int) -> DataFrame:
         "row",
         "k",
         "last",
-        F.length("text").alias("size"),
-        "start",
+        "size",
         F.concat(F.array(F.lit(0)), F.filter("ends", lambda e: e <= overlap)).alias("head"),
-        F.filter("ends", lambda e: e >= F.length("text") - overlap).alias("tail"),
+        F.filter("ends", lambda e: e >= F.col("size") - overlap).alias("tail"),
     )
     order = Window.partitionBy("row").orderBy("k")
     there = narrow.select(
@@ -215,7 +214,7 @@ def stitches(chunks: DataFrame, overlap: int) -> DataFrame:
 def glued(chunks: DataFrame, places: DataFrame, overlap: int) -> DataFrame:
     """Chunks of which those that are stuck together are one, with the places of the first."""
     parts = F.array_sort(F.collect_list(F.struct("k", "id", "start", "last", "text")))
-    met = chunks.drop("ends").join(places.select("row", "k", "island"), ["row", "k"]).groupBy("row", "island").agg(parts.alias("parts"))
+    met = chunks.drop("size", "ends").join(places.select("row", "k", "island"), ["row", "k"]).groupBy("row", "island").agg(parts.alias("parts"))
     whole = F.transform("parts", lambda p, i: F.when(i == 0, p["text"]).otherwise(F.substring(p["text"], overlap + 1, F.length(p["text"]))))
     first, last = F.element_at("parts", 1), F.element_at("parts", -1)
     return met.select(
