@@ -68,36 +68,34 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=1)
-def _piece_encoder(lines: bytes, most_held: int = 200_000):
-    """A function from a pre-token to its ids; the ids of up to ``most_held`` short pre-tokens are kept."""
-    import tiktoken
+def _encoder(lines: bytes, most_held: int = 50_000_000):
+    """A function from pre-tokens to their ids, joined; ids of pre-tokens are kept until these hold about ``most_held`` bytes."""
+    from itertools import chain
 
-    ranks, held = read_ranks(lines), {}
-    whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    import numpy as np
+    import tiktoken
 
-    def encode(piece: str) -> list[int]:
-        ids = held.get(piece)
-        if ids is None:
-            ids = whole.encode_ordinary(piece)
-            if len(piece) <= 64:
-                if len(held) >= most_held:
-                    held.clear()
-                held[piece] = ids
-        return ids
+    whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=read_ranks(lines), special_tokens={})
+    known: dict[str, list[int]] = {}
+    held = 0
+
+    def encode(pieces: list[str]):
+        nonlocal held
+        out = []
+        for k in range(0, len(pieces), 100_000):
+            some = pieces[k : k + 100_000]
+            if held > most_held:
+                known.clear()
+                held = 0
+            for piece in set(some).difference(known):
+                ids = known[piece] = whole.encode_ordinary(piece)
+                held += 200 + len(piece) + 8 * len(ids)
+            out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, some)), "i4"))
+        return np.concatenate(out) if out else np.zeros(0, "i4")
 
     return encode
 
 
-def _encoded(pieces: list[str], lines: bytes):
-    """The ids of pre-tokens, one after the other."""
-    from array import array
-
-    out, encode = array("i"), _piece_encoder(lines)
-    for piece in pieces:
-        out.extend(encode(piece))
-    return out
-
-
 def _lists(rows: list, kind):
     """Arrow lists of 32-bit numbers from arrays or lists of numbers."""
     import numpy as np
@@ -274,21 +272,21 @@ def encode_texts(
     def whole(batches):
         import pyarrow as pa
 
-        cut, lines = cutter(pattern), shared.value
+        cut, encode = cutter(pattern), _encoder(shared.value)
         for piece in pieces_of(batches, text_col, chunk_bytes):
-            ids = [_encoded(cut(text or ""), lines) for text in piece.column(text_col).to_pylist()]
+            ids = [encode(cut(text or "")) for text in piece.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(0).combine_chunks(), _lists(ids, pa.list_(pa.int32()))], names=shape.names)
 
     def parts(batches):
         import pyarrow as pa
 
-        lines = shared.value
+        encode = _encoder(shared.value)
         for piece in pieces_of(batches, "text", chunk_bytes):
             columns = (piece.column(c).to_pylist() for c in ("text", "ends", "from", "to"))
             ids = []
             for text, ends, first, to in zip(*columns, strict=True):
                 cuts = [first, *(e for e in ends if first < e <= to)]
-                ids.append(_encoded([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], lines))
+                ids.append(encode([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]))
             kept = [piece.column(c).combine_chunks() for c in ("row", "id", "k")]
             yield pa.RecordBatch.from_arrays([*kept, _lists(ids, pa.list_(pa.int32()))], names=["row", "id", "k", "ids"])
 
@@ -309,10 +307,11 @@ def encode_texts(
 
 
 def _slices(column, most: int = 65_536):
-    """For each list of an Arrow list column, its numbers in slices."""
+    """For each list of an Arrow list column, its numbers in slices; null has none."""
     for k in range(len(column)):
         ids = column[k].values
-        yield [] if ids is None else (ids.slice(i, most).to_pylist() for i in range(0, len(ids), most))
+        ids = [] if ids is None else ids.to_numpy()
+        yield (ids[i : i + most].tolist() for i in range(0, len(ids), most))
 
 
 def decode_ids(encoded: DataFrame, ranks_file: str, ids_col: str = "ids") -> DataFrame:
