@@ -17,6 +17,7 @@ from plumbline.plans.grading_queries import GATED
 from plumbline.session import shared_dir
 from plumbline.sources import document, jsonl, tree
 from plumbline.streaming import events as ev
+from plumbline.streaming import live
 
 EV = ("events_flat",)
 EVENTS = """
@@ -101,22 +102,45 @@ fs AS (SELECT t.run_id, path, min(seq) AS first_seq, CASE WHEN arg_max(event, se
   FROM touch t LEFT JOIN ends USING (run_id) GROUP BY t.run_id, path)"""
 
 
-@query("ST3_live_run_state", STATE + """,
+RUN_STATE = STATE + """,
 f AS (SELECT run_id, coalesce(arg_max('model-' || (k % 3), seq) FILTER (WHERE event = 'review.started'), '') AS model, coalesce(arg_max('stopped at ' || k, seq) FILTER (WHERE event = 'review.failed'), '') AS failed,
   coalesce(arg_max(k, seq) FILTER (WHERE event = 'structure.discovered'), 0) AS total, max(seq) FILTER (WHERE event = 'agent.started') AS st, max(seq) FILTER (WHERE event = 'review.completed') AS en FROM ok GROUP BY run_id),
 c AS (SELECT run_id, count(*) FILTER (WHERE first_seq <= st) AS opened, count(*) FILTER (WHERE state = 'flagged') AS flagged FROM fs JOIN f USING (run_id) GROUP BY ALL)
 SELECT s.*, model, failed, total, CASE WHEN en IS NOT NULL AND NOT coalesce(st > en, false) THEN 2 ELSE coalesce(opened, 0) END AS read, coalesce(flagged, 0) AS flagged
 FROM stages s JOIN f USING (run_id) LEFT JOIN c USING (run_id)
-""", EV)
+"""
+FILE_STATES = STATE + " SELECT run_id, path, state, first_seq FROM fs"
+
+
+@query("ST3_live_run_state", RUN_STATE, EV)
 def _(spark, sf):
     return ev.live_run_state(typed(spark, sf))
 
 
-@query("ST3b_file_states", STATE + " SELECT run_id, path, state, first_seq FROM fs", EV)
+@query("ST3b_file_states", FILE_STATES, EV)
 def _(spark, sf):
     return ev.file_states(typed(spark, sf))
 
 
+def watched(spark, sf) -> DataFrame:
+    """The events as a log of files, folded by a stream that drains it."""
+    log, folder = scratch(spark, "event-log"), scratch(spark, "live")
+    events = b.events(spark, sf)
+    events.repartitionByRange("seq").write.parquet(log)
+    stream = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", 256 << 20).parquet(log)
+    return live.latest(live.drain(live.live_runs(stream), folder))
+
+
+@query("ST3c_streamed_run_state", RUN_STATE, EV)
+def _(spark, sf):
+    return live.run_states(watched(spark, sf))
+
+
+@query("ST3d_streamed_file_states", FILE_STATES, EV)
+def _(spark, sf):
+    return live.file_states(watched(spark, sf))
+
+
 @query("ST4_dedupe_findings", EVENTS + """
 SELECT run_id, 'src/m' || (k % 9) || '.py' AS path, (k % 2) AS line, min(seq) AS seq FROM ok WHERE event = 'finding.detected' GROUP BY run_id, k % 9, k % 2
 """, EV)
@@ -124,12 +148,20 @@ def _(spark, sf):
     return ev.dedupe_findings(typed(spark, sf)).select("run_id", "path", "line", "seq")
 
 
-@query("ST5_live_spend", EVENTS + """,
+SPEND = EVENTS + """,
 m AS (SELECT *, last_value(CASE WHEN event = 'review.started' THEN 'model-' || (k % 3) END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS model FROM ok)
 SELECT run_id, coalesce(model, 'model') AS model, round(sum(value), 6) AS usd, count(*) AS calls FROM m WHERE event = 'agent.finished' GROUP BY ALL
 UNION ALL SELECT run_id, 'total', round(coalesce(any_value(final), 0.0) + coalesce(sum(value) FILTER (WHERE event = 'agent.finished' AND (ended IS NULL OR seq > ended)), 0.0), 6), count(*) FILTER (WHERE event = 'agent.finished')
 FROM ok LEFT JOIN (SELECT run_id, max(seq) AS ended, arg_max(value, seq) AS final FROM ok WHERE event = 'review.completed' GROUP BY run_id) USING (run_id) GROUP BY run_id
-""", EV)
+"""
+
+
+@query("ST5b_streamed_spend", SPEND, EV)
+def _(spark, sf):
+    return live.spend(watched(spark, sf))
+
+
+@query("ST5_live_spend", SPEND, EV)
 def _(spark, sf):
     t = typed(spark, sf)
     return ev.live_spend(t).unionByName(ev.run_spend(t).withColumn("model", F.lit("total")))

@@ -28,15 +28,17 @@ PAYLOAD = (
 SLICE = 20_000
 
 
+def rejection() -> Column:
+    """Why an event (columns ``event`` and ``data``) is not admitted; null if it is."""
+    known = F.col("event").isin(*dims.EVENT_NAMES)
+    bad = F.get_json_object(F.coalesce("data", F.lit("{}")), "$").isNull()
+    return F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown event")).when(bad, F.lit("payload is not JSON"))
+
+
 def typed_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(admitted with subject, verb and parsed payload; rejected with the reason)."""
-    known = F.col("event").isin(*dims.EVENT_NAMES)
     payload = F.from_json("data", PAYLOAD, {"mode": "PERMISSIVE"})
-    bad = F.get_json_object(F.coalesce("data", F.lit("{}")), "$").isNull()
-    marked = events.withColumn(
-        "reason",
-        F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown event")).when(bad, F.lit("payload is not JSON")),
-    )
+    marked = events.withColumn("reason", rejection())
     admitted = (
         marked.filter("reason is null")
         .drop("reason")
@@ -159,21 +161,22 @@ def file_states(typed: DataFrame) -> DataFrame:
 
 
 def live_run_state(typed: DataFrame) -> DataFrame:
-    """One row per run: stages, model, failure, modules read of total."""
+    """One row per run: stages, model, failure, modules read of total. A stream: ``live``."""
 
     def last(value: Column, when: Column) -> Column:
         return F.max_by(value, F.when(when & value.isNotNull(), F.col("seq")))
 
     event = F.col("event")
+    counted_by_report = (event == "review.completed") & F.col("payload.report.coverage.analysed").isNotNull()
     facts = typed.groupBy("run_id").agg(
         F.coalesce(last(F.col("payload.model"), (event == "review.started") & (F.col("payload.model") != "")), F.lit("")).alias("model"),
         F.coalesce(
             last(F.coalesce("payload.detail", F.lit("the run failed")), event == "review.failed"), F.lit("")
         ).alias("failed"),
         F.coalesce(last(F.col("payload.modules"), event == "structure.discovered"), F.lit(0)).alias("total"),
-        F.max(F.when(event == "agent.started", F.col("seq"))).alias("_started"),
-        F.max(F.when(event == "review.completed", F.col("seq"))).alias("_completed"),
-        last(F.size("payload.report.coverage.analysed"), (event == "review.completed") & F.col("payload.report.coverage.analysed").isNotNull()).alias("_analysed"),
+        F.max(F.when((event == "agent.started") & (F.col("payload.module") != ""), F.col("seq"))).alias("_started"),
+        F.max(F.when(counted_by_report, F.col("seq"))).alias("_completed"),
+        last(F.size("payload.report.coverage.analysed"), counted_by_report).alias("_analysed"),
     )
     files = file_states(typed)
     counted = (
@@ -232,20 +235,10 @@ def live_spend(typed: DataFrame) -> DataFrame:
 
 
 def run_spend(typed: DataFrame) -> DataFrame:
-    """(run_id, usd, calls): the final report's total and what was spent after it, or all that was spent."""
+    """(run_id, usd, calls): the final report's total and what was spent after it, or all that was spent. A stream: ``live``."""
     usage = F.col("payload.usage.usd")
     reported = F.col("payload.report.usd")
     final = F.when((F.col("event") == "review.completed") & reported.isNotNull(), F.col("seq"))
-    if typed.isStreaming:
-        # a stream takes one aggregate: the calls of a run (two numbers each) wait there for its last report
-        held = typed.groupBy("run_id").agg(
-            F.max(final).alias("_end"),
-            F.max_by(reported, final).alias("_final"),
-            F.collect_list(F.when(usage.isNotNull(), F.struct("seq", usage.alias("usd")))).alias("_calls"),
-        )
-        later = F.filter("_calls", lambda c: F.col("_end").isNull() | (c["seq"] > F.col("_end")))
-        spent = F.aggregate(later, F.coalesce("_final", F.lit(0.0)), lambda s, c: s + c["usd"])
-        return held.select("run_id", spent.alias("usd"), F.size("_calls").cast("long").alias("calls"))
     ends = typed.groupBy("run_id").agg(F.max(final).alias("_end"), F.max_by(reported, final).alias("_final"))
     after = F.col("_end").isNull() | (F.col("seq") > F.col("_end"))
     return typed.join(ends, "run_id").groupBy("run_id").agg(

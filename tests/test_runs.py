@@ -1,12 +1,15 @@
 """Streams against their batch twins, and the ordered helpers against plain folds."""
 
 import random
+import time
+from datetime import timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import scan
 from plumbline.streaming import events as ev
+from plumbline.streaming import live
 
 EVENT = "run_id string, seq bigint, offset_ms bigint, event string, data string, at timestamp"
 
@@ -41,7 +44,7 @@ def test_stream_equals_batch(spark, tmp_path):
     live = spark.readStream.schema(EVENT).json(folder)
     batch, _ = ev.typed_events(df)
     stream, _ = ev.typed_events(live)
-    for name, fold in (("stages", ev.stage_states), ("spend", ev.run_spend), ("counters", ev.context_counters), ("ended", ev.terminal_runs)):
+    for name, fold in (("stages", ev.stage_states), ("counters", ev.context_counters), ("ended", ev.terminal_runs)):
         got = drained(spark, fold(stream), name, tmp_path, "complete").collect()
         assert sorted(map(str, got)) == sorted(map(str, fold(batch).collect())), name
 
@@ -157,3 +160,63 @@ def test_streamed_history_closes_and_gives_up(spark, tmp_path):
     got = drained(spark, ev.run_history_stream(live, "at", "10 minutes"), "history", tmp_path, "append").collect()
     seen = {r.run_id: r.interrupted for r in got}
     assert seen["a"] is False and seen["b"] is True and seen["c"] is False
+
+
+def rounded(rows):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+
+
+def assert_live_equals(df, last):
+    typed, _ = ev.typed_events(df)
+    assert rounded(live.run_states(last).collect()) == rounded(ev.live_run_state(typed).select(*live.run_states(last).columns).collect())
+    assert rounded(live.file_states(last).collect()) == rounded(ev.file_states(typed).select("run_id", "path", "state", "first_seq").collect())
+    total = ev.run_spend(typed).withColumn("model", F.lit("total"))
+    assert rounded(live.spend(last).collect()) == rounded(ev.live_spend(typed).unionByName(total).select("run_id", "model", "usd", "calls").collect())
+
+
+def test_live_fold_equals_batch_over_a_restart(spark, tmp_path):
+    """Events arrive out of order, twice, and over a stream that is stopped half-way and goes on from its checkpoint."""
+    df, _ = sample(spark, tmp_path)
+    df = df.withColumn("data", F.when(F.col("seq") == 111, F.lit('{"report":{"usd":2.5,"coverage":{"analysed":["a","b"]}}}')).otherwise(F.col("data")))
+    df = df.withColumn("event", F.when(F.col("seq") == 111, F.lit("review.completed")).otherwise(F.col("event")))
+    folder, shared = str(tmp_path / "live"), str(tmp_path / "drained")
+    halves = df.where("seq % 3 <> 0 or seq > 100"), df.where("seq % 3 = 0 or seq between 40 and 60")
+    halves[0].repartition(2).write.json(folder)
+
+    def stream():
+        return live.live_runs(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(folder))
+
+    first = live.latest(live.drain(stream(), shared)).where("kind = 'run'").collect()
+    assert all(r.as_of == 2 and r.waiting > 0 and r.missed == 0 for r in first)  # the third event is still missing
+    halves[1].repartition(3).write.mode("append").json(folder)
+    updates = live.drain(stream(), shared)
+    assert updates.select("batch").distinct().count() >= 5
+    last = live.latest(updates)
+    assert {(r.as_of, r.waiting, r.missed) for r in last.where("kind = 'run'").collect()} == {(119, 0, 0)}
+    assert_live_equals(df, last)
+
+
+def test_live_fold_passes_what_is_lost(spark, tmp_path):
+    """With too many events waiting, or after the patience, the fold goes on past the hole and says how many it missed."""
+    df, _ = sample(spark, tmp_path)
+    lossy = df.where("seq not in (5, 6, 50)")
+    lossy.repartition(1).write.json(str(tmp_path / "in"))
+    events = spark.readStream.schema(EVENT).json(str(tmp_path / "in"))
+    last = live.latest(live.drain(live.live_runs(events, most_waiting=0), str(tmp_path / "a")))
+    assert {(r.as_of, r.waiting, r.missed) for r in last.where("kind = 'run'").collect()} == {(119, 0, 3)}
+    assert_live_equals(lossy, last)
+    waits = live.live_runs(events, time="at", delay="5 seconds", patience=timedelta(seconds=30))
+    held = live.latest(live.drain(waits, str(tmp_path / "b"))).where("kind = 'run'").collect()
+    assert {(r.as_of, r.missed) for r in held} == {(4, 0)}
+    later = spark.createDataFrame([("other", 1, 0, "review.failed", "{}")], EVENT.rsplit(",", 1)[0])
+    later.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000 + 300))).write.mode("append").json(str(tmp_path / "in"))
+    last = live.latest(live.drain(waits, str(tmp_path / "b"))).where("run_id <> 'other'")
+    assert {(r.as_of, r.missed) for r in last.where("kind = 'run'").collect()} == {(119, 3)}
+    assert_live_equals(lossy, last)
+
+
+def test_live_fold_of_odd_events(spark, tmp_path):
+    rows = [("r", 1, 0, "agent.started", None), ("r", 2, 0, "agent.finished", "no json"), ("r", 3, 0, None, "{}"), ("r", 4, 0, "review.failed", "{}"), (None, 1, 0, "review.failed", "{}"), ("s", None, 0, "review.failed", "{}")]
+    spark.createDataFrame(rows, EVENT.rsplit(",", 1)[0]).write.json(str(tmp_path / "in"))
+    last = live.latest(live.drain(live.live_runs(spark.readStream.schema(EVENT).json(str(tmp_path / "in"))), str(tmp_path / "out"))).collect()
+    assert [(r.run_id, r.kind, r.as_of, r.specialists, r.failed, r.read, r.usd, r.ended) for r in last] == [("r", "run", 4, "running", "the run failed", 0, 0.0, True)]
