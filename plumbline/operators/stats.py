@@ -12,6 +12,8 @@ from plumbline.session import cut_lineage
 MAX_EXACT = 10
 RESAMPLES = 20_000
 STEP = 10_000
+#: Distinct values a round of the exact test takes of each half.
+PER_ROUND = 4
 
 
 def fisher_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,50 +58,106 @@ def fisher_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.join(p, keys, "left")
 
 
+def _left_sums(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(facts of each pair in whole units; rows (keys, half, taken, left, ways) that count the left sides by their sum).
+
+    A unit is a power of ten of at most 1e-14 of what the values add up to, so that values of a few digits are whole and equal
+    sums equal. The distinct values of a pair are dealt to two
+    halves; a round takes the next ``PER_ROUND`` values of each, lists how often each is drawn, and adds up what has drawn the
+    same number and sum so far. The rows are as many as there are different sums, not as many as there are choices.
+    """
+    facts = samples.withColumn("_pool", F.concat("a", "b")).select(
+        *keys,
+        "_pool",
+        F.size("a").cast("long").alias("_n"),
+        F.size("b").cast("long").alias("_m"),
+        _sum(F.transform("_pool", F.abs)).alias("_peak"),
+    )
+    facts = facts.withColumn("_scale", F.pow(F.lit(10.0), F.least(F.lit(15.0), F.floor(14 - F.log10(F.greatest("_peak", F.lit(1e-15)))))))
+    units = F.transform("_pool", lambda v: F.round(v * F.col("_scale")).cast("long"))
+    facts = facts.withColumn("_pool", units)
+    facts = facts.withColumns(
+        {
+            "_total": F.aggregate("_pool", F.lit(0).cast("long"), lambda x, v: x + v),
+            "_own": F.aggregate(F.slice("_pool", F.lit(1), F.col("_n").cast("int")), F.lit(0).cast("long"), lambda x, v: x + v),
+            "_width": F.greatest(F.lit(1), F.ceil(F.col("_peak") * F.col("_scale") / 64)).cast("long"),
+        }
+    )
+    listed = facts.select(*keys, F.explode("_pool").alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    sorted_values = listed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("_values"))
+    blocks = (
+        sorted_values.select(*keys, F.posexplode("_values").alias("_at", "_value"))
+        .groupBy(*keys, (F.col("_at") % 2).alias("_half"), F.floor(F.col("_at") / (2 * PER_ROUND)).alias("_round"))
+        .agg(F.collect_list("_value").alias("_block"))
+    )
+    facts, blocks = cut_lineage(facts.drop("_pool")), cut_lineage(blocks)
+    states = facts.select(
+        *keys, "_n", F.explode(F.array(F.lit(0), F.lit(1))).alias("_half"),
+        F.lit(0).cast("long").alias("_taken"), F.lit(0).cast("long").alias("_left"), F.lit(1.0).alias("_ways"),
+    )
+    rounds = blocks.agg(F.max("_round")).first()[0]
+    for k in range(0 if rounds is None else rounds + 1):
+        states = spread_join(states, blocks.where(F.col("_round") == k).drop("_round"), [*keys, "_half"], "left")
+        for i in range(PER_ROUND):
+            value = F.get("_block", F.lit(i))
+            states = states.withColumn("_c", F.coalesce(value["c"], F.lit(0).cast("long")))
+            states = states.withColumn("_took", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_c", F.col("_n") - F.col("_taken")))))
+            ways = F.expr("aggregate(if(_took > 0, sequence(1L, _took), array()), 1D, (w, i) -> w * (_c - _took + i) / i)")
+            states = states.withColumns(
+                {
+                    "_left": F.col("_left") + F.col("_took") * F.coalesce(value["v"], F.lit(0).cast("long")),
+                    "_ways": F.col("_ways") * ways,
+                    "_taken": F.col("_taken") + F.col("_took"),
+                }
+            )
+        states = states.groupBy(*keys, "_n", "_half", "_taken", "_left").agg(F.sum("_ways").alias("_ways"))
+        if k % 4 == 3:
+            states = cut_lineage(states)
+    return facts, states
+
+
 def permutation_exact(samples: DataFrame, keys: list[str]) -> DataFrame:
     """``samples``: keys, a array<double>, b array<double>, at most ``MAX_EXACT`` values in ``a`` and any number in ``b``.
 
-    Only left sides are listed, as rows: each step takes the next larger value in use and how often, up to ``MAX_EXACT``
-    steps. Equal values are one, and a row weighs as many relabellings as choose among them. Pairs with more values in
-    ``a`` are left to ``permutation_sampled``.
+    Relabellings are counted by their left sum (``_left_sums``); gaps count as equal within 1e-12 or ten units. A relabelling is as far apart as the pair if its left sum is
+    at most one bound or at least another, so a running count over the sums of one half answers every row of the other half.
+    Pairs with more values in ``a`` are left to ``permutation_sampled``.
     """
     samples = cut_lineage(samples)
-    sized = samples.withColumn("_n", F.size("a")).withColumn("_m", F.size("b"))
-    small = sized.filter((F.col("_n") > 0) & (F.col("_m") > 0) & (F.col("_n") <= MAX_EXACT))
-    pooled = small.withColumn("_pool", F.concat("a", "b")).withColumn("_sum", _sum(F.col("_pool")))
-    observed = F.abs(_sum(F.col("a")) / F.col("_n") - _sum(F.col("b")) / F.col("_m"))
-    pooled = pooled.withColumn("_observed", observed).withColumn("_values", F.array_sort(F.array_distinct("_pool")))
-    often = F.transform("_values", lambda v: F.size(F.filter("_pool", lambda x: x == v)))
-    beyond = F.transform("_values", lambda v: F.size(F.filter("_pool", lambda x: x > v)))
-    sides = pooled.withColumn("_often", often).withColumn("_beyond", beyond).select(
-        *keys, "_n", "_m", "_sum", "_observed", "_values", "_often", "_beyond",
-        F.lit(-1).alias("_at"), F.lit(0).alias("_taken"), F.lit(0.0).alias("_left"), F.lit(1.0).alias("_ways"),
-    )
-    for level in range(MAX_EXACT):
-        whole = F.col("_taken") == F.col("_n")
-        last = F.size("_values") - 1
-        at = F.when(whole, F.array("_at")).when(F.col("_at") < last, F.sequence(F.col("_at") + 1, last))
-        sides = sides.withColumn("_whole", whole).withColumn("_at", F.explode(at))
-        short = F.col("_n") - F.col("_taken")
-        most, least = F.least(F.col("_often")[F.col("_at")], short), F.greatest(F.lit(1), short - F.col("_beyond")[F.col("_at")])
-        took = F.when(F.col("_whole"), F.array(F.lit(0))).when(least <= most, F.sequence(least, most))
-        sides = sides.withColumn("_took", F.explode(took))
-        ways = F.expr("aggregate(if(_took > 0, sequence(1, _took), array()), 1D, (w, i) -> w * (_often[_at] - _took + i) / i)")
-        sides = sides.withColumns(
-            {
-                "_left": F.col("_left") + F.col("_took") * F.col("_values")[F.col("_at")],
-                "_ways": F.col("_ways") * ways,
-                "_taken": F.col("_taken") + F.col("_took"),
-            }
-        )
-        if level == 1:
-            # so that one large pair is worked on by all cores
-            sides = sides.repartition(*keys, "_at", "_taken", "_left")
-    gap = F.abs(F.col("_left") / F.col("_n") - (F.col("_sum") - F.col("_left")) / F.col("_m"))
-    counted = sides.withColumn("_gap", gap).groupBy(*keys).agg(
-        ratio(F.sum(F.when(F.col("_gap") >= F.col("_observed") - 1e-12, F.col("_ways")).otherwise(0.0)), F.sum("_ways")).alias("p")
-    )
-    return samples.join(counted, keys, "left")
+    size = F.size("a")
+    facts, states = _left_sums(samples.filter((size > 0) & (size <= MAX_EXACT) & (F.size("b") > 0)), keys)
+    n, m, total = F.col("_n"), F.col("_m"), F.col("_total")
+    apart = F.abs(F.col("_own") / n - (total - F.col("_own")) / m) - F.greatest(1e-12 * F.col("_scale"), F.lit(10.0))
+    per = F.lit(1.0) / n + F.lit(1.0) / m
+    facts = facts.withColumns(
+        {
+            "_apart": apart,
+            "_low": F.floor((total / m - apart) / per).cast("long"),
+            "_high": F.ceil((total / m + apart) / per).cast("long"),
+        }
+    )
+    states = cut_lineage(states)
+    bounds = facts.select(*keys, "_low", "_high", "_width")
+    one, other = (spread_join(states.where(F.col("_half") == half), bounds, keys) for half in (0, 1))
+    left, most = F.col("_left"), F.lit(2**62)
+
+    def asked(place: Column, order: int, sign: int) -> Column:
+        return F.struct(place.alias("_place"), F.lit(order).alias("_order"), (F.col("_ways") * sign).alias("_weight"), F.lit(0.0).alias("_ways"))
+
+    questions = F.array(asked(F.col("_low") - left, 2, 1), asked(F.col("_high") - left, 0, -1), asked(most, 3, 1))
+    asking = one.select(*keys, (n - F.col("_taken")).alias("_need"), "_width", F.explode(questions).alias("_q")).select(*keys, "_need", "_width", "_q.*")
+    counted = other.select(
+        *keys, F.col("_taken").alias("_need"), "_width", left.alias("_place"), F.lit(1).alias("_order"), F.lit(0.0).alias("_weight"), "_ways"
+    )
+    rows = asking.unionByName(counted)
+    place = F.floor(F.col("_place") / F.col("_width"))
+    summed = running_sum(rows, [*keys, "_need"], [F.col("_place"), F.col("_order")], place, F.col("_ways"), "_upto")
+    share = F.col("_weight") * F.col("_upto")
+    far = summed.groupBy(*keys).agg(ratio(F.sum(share), F.sum(F.when(F.col("_order") == 3, share))).alias("_far"))
+    p = facts.select(*keys, "_apart").join(far, keys).select(
+        *keys, F.when(F.col("_apart") <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_far"))).alias("p")
+    )
+    return samples.join(p, keys, "left")
 
 
 def permutation_sampled(samples: DataFrame, keys: list[str], resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:

@@ -202,6 +202,10 @@ def test_permutation_is_exact_for_any_right_side(spark):
         ("few", [0.9, 0.7, 0.65], [round(0.05 * k * k % 1, 3) for k in range(20)]),
         ("ten", [round(0.3 + 0.061 * k, 3) for k in range(10)], [round(0.05 * k, 3) for k in range(13)]),
         ("ties", [1.0, 0.5, 0.5, 0.75], [0.5] * 9 + [0.25] * 8),
+        ("same", [0.5, 0.5], [0.5] * 4),
+        ("odd", [1 / 3, -2 / 7, 1e-9], [2**0.5, 0.0, -0.0, 1 / 7, 2 / 3]),
+        ("large", [3e9, 1.5], [2.25, 4e9, 7.0]),
+        ("even", [1.0, 4.0], [2.0, 3.0, 2.5]),
     ]
     got = {r.k: r.p for r in stats.permutation_p(spark.createDataFrame(rows, "k string, a array<double>, b array<double>"), ["k"]).collect()}
     for k, a, b in rows:
@@ -211,6 +215,22 @@ def test_permutation_is_exact_for_any_right_side(spark):
         assert got[k] == pytest.approx(sum(far) / len(far), abs=1e-12), k
 
 
+def test_permutation_counts_sums_not_choices(spark):
+    """Ten against two hundred different values: 4e15 relabellings, counted here by a table of (taken, sum)."""
+    a, b = [250 + 7 * k for k in range(10)], list(range(1, 401, 2))
+    pool, n, m = a + b, len(a), len(b)
+    ways = [{0: 1}, *({} for _ in a)]
+    for v in pool:
+        for t in range(n - 1, -1, -1):
+            for s, w in ways[t].items():
+                ways[t + 1][s + v] = ways[t + 1].get(s + v, 0) + w
+    seen, total = abs(sum(a) / n - sum(b) / m) - 1e-9, sum(pool)
+    want = sum(w for s, w in ways[n].items() if abs(s / n - (total - s) / m) >= seen) / sum(ways[n].values())
+    rows = [("wide", [v / 1000 for v in a], [v / 1000 for v in b])]
+    got = stats.permutation_exact(spark.createDataFrame(rows, "k string, a array<double>, b array<double>"), ["k"]).first().p
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize(("comparator", "kept"), [("at_most", 5.0), ("at_least", 10.0)])
 def test_strictest(spark, comparator, kept):
     f = finding(spark, {"prediction": p(comparator, 10.0)}, {"prediction": p(comparator, 5.0)})
