@@ -463,10 +463,16 @@ def recall_samples(spark, sf):
 SAMPLES = SCORED + """,
 rates AS (SELECT case_id, arm, seed, round(found / seeded, 3) AS rate FROM scores),
 arrs AS (SELECT case_id, coalesce(list_sort(list(rate) FILTER (WHERE arm = 'pipeline')), []) AS a, coalesce(list_sort(list(rate) FILTER (WHERE arm = 'baseline')), []) AS b FROM rates GROUP BY case_id),
-masks AS (SELECT case_id, list_concat(a, b) AS pool, len(a) AS n, len(b) AS m, abs(list_avg(a) - list_avg(b)) AS obs, unnest(range(0, (1 << (len(a) + len(b)))::BIGINT)) AS mask
-  FROM arrs WHERE len(a) BETWEEN 1 AND 10 AND len(b) > 0 AND len(a) + len(b) <= 22),
-gaps AS (SELECT case_id, obs, n, m, list_sum(list_transform(pool, lambda v, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN v ELSE 0 END)) AS l, list_sum(pool) AS t FROM masks WHERE bit_count(mask) = n),
-perm AS (SELECT case_id, count(*) FILTER (WHERE abs(l / n - (t - l) / m) >= obs - 1e-12) / count(*) AS p FROM gaps GROUP BY case_id)"""
+pairs2 AS (SELECT case_id, list_transform(list_concat(a, b), lambda v: CAST(round(v * 1000) AS BIGINT)) AS pool, len(a) AS n, len(b) AS m FROM arrs WHERE len(a) BETWEEN 1 AND 10 AND len(b) > 0),
+vals AS (SELECT case_id, v, count(*) AS c, row_number() OVER (PARTITION BY case_id ORDER BY v) AS i FROM (SELECT case_id, unnest(pool) AS v FROM pairs2) GROUP BY case_id, v),
+dp(case_id, i, n, taken, s, ways) AS (
+  SELECT case_id, CAST(0 AS BIGINT), CAST(n AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM pairs2
+  UNION ALL SELECT case_id, i, n, taken, s, sum(ways) FROM (
+    SELECT d.case_id, d.i + 1 AS i, d.n, d.taken + k AS taken, CAST(d.s + k * v AS BIGINT) AS s, d.ways * round(exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1))) AS ways
+    FROM (SELECT d.*, v, c, unnest(range(0, least(c, d.n - d.taken) + 1)) AS k FROM dp d JOIN vals ON vals.case_id = d.case_id AND vals.i = d.i + 1) d) GROUP BY case_id, i, n, taken, s),
+lefts AS (SELECT dp.case_id, ways, dp.n, m, s, list_sum(pool) AS t, list_sum(list_slice(pool, 1, p.n)) AS own FROM dp JOIN pairs2 p ON p.case_id = dp.case_id
+  WHERE taken = dp.n AND dp.i = (SELECT max(v.i) FROM vals v WHERE v.case_id = dp.case_id)),
+perm AS (SELECT case_id, coalesce(sum(ways) FILTER (WHERE abs(s / n - (t - s) / m) >= abs(own / n - (t - own) / m) - 1e-9), 0) / sum(ways) AS p FROM lefts GROUP BY case_id)"""
 
 
 @query("Q02_permutation_exact", SAMPLES + " SELECT arrs.case_id, len(a)::BIGINT AS n, len(b)::BIGINT AS m, round(p, 6) AS p FROM arrs LEFT JOIN perm USING (case_id)", FLAT)
