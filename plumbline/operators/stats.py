@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.grading import ratio
 from plumbline.operators.scan import running_sum, spread_join
@@ -14,6 +15,8 @@ RESAMPLES = 20_000
 STEP = 10_000
 #: Distinct values a round of the exact test takes of each half.
 PER_ROUND = 4
+#: Distinct values of a block and draws of a chunk in the sampled test.
+PER_BLOCK, DRAWS = 4_000, 500
 
 
 def fisher_exact(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,31 +164,89 @@ def permutation_exact(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def permutation_sampled(samples: DataFrame, keys: list[str], resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """Seeded resampling above the exact size. Labels come from a hash order, repeatable on any cluster.
+    """Seeded resampling above the exact size: in ``resamples`` draws, how often the sides are as far apart as they are.
 
-    ``samples``: keys, side ('a' or 'b'), item bigint (unique in the pair), value double. Long form, so
-    no pair is gathered: each (resample, value) is a row and the labels are cut by rank.
+    ``samples``: keys, side ('a' or 'b'), item bigint (not read), value double. Long form, so no pair is gathered. Equal values
+    are one with a count, and the distinct values of a pair lie in blocks of about ``PER_BLOCK``. A draw is made in two steps
+    that together are one hypergeometric draw: how many of each block go left, then which values of the block they are. Only
+    a block's left sum leaves a task. Generators are seeded by pair, block and draw, so a rerun on any cluster agrees. Gaps
+    are compared in whole units (``_left_sums``).
     """
-    samples = cut_lineage(samples)
-    sizes = samples.groupBy(*keys).agg(
-        F.count_if(F.col("side") == "a").alias("_n"),
-        F.count_if(F.col("side") == "b").alias("_m"),
-        F.avg(F.when(F.col("side") == "a", F.col("value"))).alias("_ma"),
-        F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("_mb"),
-    )
-    usable = sizes.filter((F.col("_n") > 0) & (F.col("_m") > 0))
-    draws = samples.join(usable, keys).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    shuffled = Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", "item"), "item")
-    labelled = draws.withColumn("_left", F.row_number().over(shuffled) <= F.col("_n"))
-    means = labelled.groupBy(*keys, "draw").agg(
-        F.avg(F.when(F.col("_left"), F.col("value"))).alias("_one"),
-        F.avg(F.when(~F.col("_left"), F.col("value"))).alias("_other"),
-        F.abs(F.first("_ma") - F.first("_mb")).alias("_observed"),
-    )
-    counted = means.groupBy(*keys).agg(
-        ratio(F.count_if(F.abs(F.col("_one") - F.col("_other")) >= F.col("_observed") - 1e-12), F.count(F.lit(1))).alias("p")
-    )
-    return sizes.select(*keys).join(counted, keys, "left")
+    known = samples.filter("value is not null")
+    left = F.col("side") == "a"
+    facts = known.groupBy(*keys).agg(
+        F.count_if(left).alias("_n"), F.count_if(~left).alias("_m"), F.sum(F.abs("value")).alias("_peak")
+    )
+    facts = facts.withColumn("_scale", F.pow(F.lit(10.0), F.least(F.lit(15.0), F.floor(14 - F.log10(F.greatest("_peak", F.lit(1e-15)))))))
+    counted = spread_join(known, facts.select(*keys, "_scale"), keys).groupBy(
+        *keys, F.round(F.col("value") * F.col("_scale")).cast("long").alias("_v")
+    ).agg(F.count(F.lit(1)).alias("_c"), F.count_if(left).alias("_own"))
+    counted = cut_lineage(counted)
+    totals = counted.groupBy(*keys).agg(
+        F.sum(F.col("_v") * F.col("_c")).alias("_total"),
+        F.sum(F.col("_v") * F.col("_own")).alias("_left"),
+        F.ceil(F.count(F.lit(1)) / PER_BLOCK).cast("int").alias("_blocks"),
+    )
+    facts = cut_lineage(facts.join(totals, keys).filter((F.col("_n") > 0) & (F.col("_m") > 0)))
+    hashed = F.pmod(F.xxhash64("_v"), F.col("_blocks")).cast("int")
+    blocks = (
+        spread_join(counted, facts.select(*keys, "_blocks"), keys)
+        .groupBy(*keys, hashed.alias("_block"))
+        .agg(F.sum("_c").alias("_size"), F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_values"))
+    )
+    blocks = cut_lineage(blocks)
+    sizes = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_block", "_size"))).alias("_sizes"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS)))
+    planned = facts.select(*keys, "_n", F.xxhash64(*keys).alias("_pair")).join(sizes, keys).withColumn("_chunk", chunks)
+
+    def generator(*parts: int):
+        import numpy as np
+
+        return np.random.default_rng([seed, *(p % 2**64 for p in parts)])
+
+    def divide(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                draws = min(DRAWS, resamples - row["_chunk"] * DRAWS)
+                held = np.array([x["_size"] for x in row["_sizes"]], "i8")
+                taken = generator(row["_pair"], row["_chunk"]).multivariate_hypergeometric(held, row["_n"], size=draws, method="marginals")
+                number = len(held)
+                columns = [batch.column(c).take(pa.array([k] * number)) for c in (*keys, "_pair", "_chunk")]
+                of = pa.array([x["_block"] for x in row["_sizes"]], pa.int32())
+                yield pa.RecordBatch.from_arrays([*columns, of, pa.array(list(taken.T), pa.list_(pa.int64()))], names=[*keys, "_pair", "_chunk", "_block", "_taken"])
+
+    def choose(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                values, often = (np.array([x[c] for x in row["_values"]], "i8") for c in ("_v", "_c"))
+                chance, taken = generator(row["_pair"], row["_chunk"], row["_block"]), np.array(row["_taken"])
+                sums = np.empty(len(taken), "i8")
+                for n in np.unique(taken):
+                    at = np.flatnonzero(taken == n)
+                    sums[at] = chance.multivariate_hypergeometric(often, n, size=len(at), method="marginals") @ values
+                columns = [batch.column(c).take(pa.array([k] * len(sums))) for c in keys]
+                draw = pa.array(row["_chunk"] * DRAWS + np.arange(len(sums)))
+                yield pa.RecordBatch.from_arrays([*columns, draw, pa.array(sums)], names=[*keys, "_draw", "_sum"])
+
+    named = [samples.schema[c] for c in keys]
+    shared = T.StructType([*named, *T.StructType.fromDDL("_pair long, _chunk int, _block int, _taken array<long>").fields])
+    summed = T.StructType([*named, *T.StructType.fromDDL("_draw long, _sum long").fields])
+    divided = planned.mapInArrow(divide, shared)
+    drawn = divided.join(blocks.drop("_size"), [*keys, "_block"]).select(*keys, "_pair", "_chunk", "_block", "_taken", "_values")
+    drawn = drawn.repartition(*keys, "_chunk", "_block").mapInArrow(choose, summed)
+    sums = drawn.groupBy(*keys, "_draw").agg(F.sum("_sum").alias("_sum"))
+    n, m, total = F.col("_n"), F.col("_m"), F.col("_total")
+    seen = F.abs(F.col("_left") / n - (total - F.col("_left")) / m) - F.greatest(1e-12 * F.col("_scale"), F.lit(10.0))
+    far = F.abs(F.col("_sum") / n - (total - F.col("_sum")) / m) >= F.col("_seen")
+    asked = facts.withColumn("_seen", seen).select(*keys, "_n", "_m", "_total", "_seen")
+    p = spread_join(sums, asked, keys).groupBy(*keys).agg(ratio(F.count_if(far), F.count(F.lit(1))).alias("p"))
+    return samples.select(*keys).distinct().join(p, keys, "left")
 
 
 def permutation_p(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -481,16 +483,45 @@ def _(spark, sf):
     return p.select("case_id", F.size("a").alias("n"), F.size("b").alias("m"), "p")
 
 
-@query("Q03_permutation_sampled")
-def _(spark, sf):
-    """Every run's recall of the two arms; labels follow a hash order, so only its own repeats agree."""
-    s = scores(spark, sf).select(
+def all_recalls(spark, sf):
+    """Every run's recall of the two arms, in long form."""
+    return scores(spark, sf).select(
         F.lit("all").alias("pair"),
         F.when(F.col("arm") == "pipeline", F.lit("a")).otherwise(F.lit("b")).alias("side"),
         F.xxhash64("case_id", "arm", "seed").alias("item"),
         F.round(F.col("found") / F.col("seeded"), 3).alias("value"),
     )
-    return stats.permutation_sampled(s, ["pair"])
+
+
+@query("Q03_permutation_sampled")
+def _(spark, sf):
+    """Drawn at random from a seed, so only its own repeats agree; Q03b compares it with its limit."""
+    return stats.permutation_sampled(all_recalls(spark, sf), ["pair"])
+
+
+#: The usual five-term approximation of the complementary error function, good to 2e-7.
+ERFC = "(0.254829592 * t - 0.284496736 * t * t + 1.421413741 * t * t * t - 1.453152027 * t * t * t * t + 1.061405429 * t * t * t * t * t) * exp(-x * x)"
+
+
+@query("Q03b_sampled_beside_its_limit", SCORED + f""",
+r AS (SELECT arm = 'pipeline' AS a, round(found / seeded, 3) AS v FROM scores WHERE found / seeded IS NOT NULL),
+f AS (SELECT count(*) FILTER (WHERE a) AS n, count(*) FILTER (WHERE NOT a) AS m, abs(avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a)) AS gap, var_samp(v) AS spread FROM r),
+z AS (SELECT *, gap / sqrt(2 * spread * (1.0 / n + 1.0 / m)) AS x FROM f),
+w AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM z)
+SELECT 'all' AS pair, n, m, round(gap, 6) AS gap, round({ERFC}, 5) AS limit_p, TRUE AS near FROM w
+""", FLAT)
+def _(spark, sf):
+    """The sampled p beside the normal limit of the same permutation distribution: near is a distance of at most 0.02."""
+    rows = all_recalls(spark, sf)
+    left, value = F.col("side") == "a", F.col("value")
+    limit = rows.filter("value is not null").groupBy("pair").agg(
+        F.count_if(left).alias("n"), F.count_if(~left).alias("m"),
+        F.abs(F.avg(F.when(left, value)) - F.avg(F.when(~left, value))).alias("gap"), F.var_samp(value).alias("spread"),
+    )
+    limit = limit.withColumn("x", F.expr("gap / sqrt(2 * spread * (1.0D / n + 1.0D / m))")).withColumn("t", F.expr("1 / (1 + 0.3275911D * x)"))
+    limit = limit.withColumn("limit_p", F.expr(re.sub(r"(\d\.\d+)", r"\1D", ERFC)))
+    both = limit.join(stats.permutation_sampled(rows, ["pair"]), "pair")
+    return both.select("pair", "n", "m", "gap", F.round("limit_p", 5).alias("limit_p"), (F.abs(F.col("p") - F.col("limit_p")) <= 0.02).alias("near"))
 
 
 @query("Q04_verdict", PAIRS + """

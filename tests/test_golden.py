@@ -1,5 +1,7 @@
 """Hand rows with the answer that must come out."""
 
+import math
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -146,6 +148,29 @@ def test_sampled_permutation_is_near_the_exact_one(spark):
     assert abs(stats.permutation_sampled(long, ["k"], resamples=3000).first().p - exact) < 0.03
 
 
+def test_sampled_permutation_in_blocks(spark, monkeypatch):
+    """Many small blocks give the same distribution as one, reruns agree, and a side without values has no p."""
+    rows = [(k, "a" if i % 2 else "b", i, (i * 37 % 101) / 100 + (0.04 if i % 2 else 0)) for k in ("one", "two") for i in range(400)]
+    rows += [("none", "a", 1, 0.5), ("none", "b", 2, None)]
+    long = spark.createDataFrame(rows, "k string, side string, item bigint, value double")
+
+    def found():
+        return {r.k: r.p for r in stats.permutation_sampled(long, ["k"], resamples=4000).collect()}
+
+    def limit():
+        a, b = ([v for k, s, _, v in rows if k == "one" and s == side] for side in "ab")
+        mean = sum(a + b) / 400
+        spread = sum((v - mean) ** 2 for v in a + b) / 399 * (1 / 200 + 1 / 200)
+        return math.erfc(abs(sum(a) - sum(b)) / 200 / math.sqrt(2 * spread))
+
+    whole = found()
+    assert whole == found() and whole["none"] is None
+    monkeypatch.setattr(stats, "PER_BLOCK", 9)
+    blocks = found()
+    for p in (whole["one"], whole["two"], blocks["one"], blocks["two"]):
+        assert p == pytest.approx(limit(), abs=0.03)
+
+
 def test_verdict_words(spark):
     rows = spark.createDataFrame([(0.9,), (0.1,), (0.01,), (None,)], "p double").select(stats.verdict(F.col("p")))
     assert [r[0] for r in rows.collect()] == ["no detectable difference", "suggestive, not significant", "significant", "not measured"]
