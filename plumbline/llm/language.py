@@ -67,9 +67,9 @@ class Profiles:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """The language at the least distance (ties: the first by name) and 1 less the distance's share of the greatest."""
-        grams = top_grams(gram_codes(text), self.most)
-        if not len(grams) or not self.langs:
+        if not self.langs or not any(map(str.isalpha, text or "")):
             return "und", 0.0
+        grams = top_grams(gram_codes(text), self.most)
         at = np.minimum(np.searchsorted(self.codes, grams), len(self.codes) - 1)
         place = np.where(self.codes[at] == grams, self.places[:, at], self.most)
         apart = np.where(place < self.most, np.abs(place - np.arange(len(grams))), self.most).sum(axis=1)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -239,6 +240,45 @@ def test_language(spark, odd, empty):
     assert all(got[k].lang_pred == langs[k] for k in range(60)) and {got[k].lang_pred for k in (90, 91, 92)} == {"und"}
     assert all(0 <= r.score <= 1 for r in got.values()) and language.predict_language(empty).count() == 0
     assert {r.lang_pred for r in language.predict_language(odd).collect()} == {"und"}
+    signs = ["½", "²³", "①② ①", "Ⅷ", "12 _ !", "\u0301"]
+    mixed = docs_of(spark, [*texts, *((5000 + k, s) for k, s in enumerate(signs)), (6000, "ª")], langs)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predict_language(mixed).collect()}
+    assert all(found[5000 + k] == ("und", 0.0) for k in range(len(signs))) and found[6000][0] != "und"
+
+
+def test_language_against_plain_dictionaries(spark):
+    """Profiles as plain dictionaries: ranked n-grams of one to three characters, out-of-place distance, ties by code."""
+    words = {"aa": ["banana", "canal", "salad", "Mañana"], "ee": ["letter", "EERIE", "teeth", "été"], "oo": ["mosso", "lotto"]}
+    rows = [(k, " ".join(words[w][(k * j) % len(words[w])] for j in range(1, 9)), w) for i, w in enumerate(words) for k in range(i, 90, 3)]
+
+    def grams(text):
+        clean = re.sub(r"[\W\d_]+", "_", text.lower()).strip("_")
+        padded = f"_{clean}_"
+        found = [c for c in padded if c != "_"] + [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
+
+        def code(g):
+            out = 0
+            for c in g:
+                out = out << 21 | ord(c)
+            return out
+
+        return Counter(map(code, found))
+
+    def ranked(counts, most):
+        return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+
+    for most in (30, 400):
+        profiles = {}
+        for lang in words:
+            added = sum((grams(t) for k, t, w in rows if w == lang and zlib.crc32(str(k).encode()) % 3 != 1), Counter())
+            profiles[lang] = {g: i for i, g in enumerate(ranked(added, most))}
+        docs = docs_of(spark, [(k, t) for k, t, _ in rows], {k: w for k, _, w in rows})
+        for r in language.predict_language(docs, most=most).collect():
+            mine = ranked(grams(next(t for k, t, _ in rows if k == r.doc_id)), most)
+            far = {x: sum(abs(p[g] - i) if g in p else most for i, g in enumerate(mine)) for x, p in profiles.items()}
+            best = min(far, key=lambda x: (far[x], x))
+            assert r.lang_pred == best and r.score == pytest.approx(1 - far[best] / (most * len(mine)))
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
 def test_near_duplicates(spark, odd, empty):
