@@ -190,7 +190,7 @@ def parsed(spark, sf):
 def _(spark, sf):
     good, bad = parsed(spark, sf)
     rows = good.select("repo_id", "path", "language", "loc", "imports", "named_in_strings")
-    return rows.unionByName(bad.withColumn("language", F.lit("unparsed")), allowMissingColumns=True)
+    return rows.unionByName(bad.drop("reason").withColumn("language", F.lit("unparsed")), allowMissingColumns=True)
 
 
 @query("T02_detect_swallowed_errors", _signal([(i, "craft") for i in (4, 8, 12, 14, 16, 18)]), SRC)
