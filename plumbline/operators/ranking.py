@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline import dims
 from plumbline.operators.gates import severity_rank, why_unread
+from plumbline.operators.scan import numbered
+from plumbline.session import cut_lineage
 
 
 def finding_score(depth: Column, fan_in: Column) -> Column:
@@ -40,6 +42,16 @@ def reader_order() -> list[Column]:
     return [F.asc("level"), F.desc("settled"), F.asc("path"), F.asc("line"), F.asc("ord")]
 
 
+def positions(ranked: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "position") -> DataFrame:
+    """Every row with its place 1..n among those of its key, where one key may hold most rows.
+
+    Rows are dealt out in ranges of key and order, so a large key lies in many tasks one after the other; a row's place is its
+    place in the task and what the tasks before hold of its key. The ranges are written once, as both are read from them.
+    """
+    ranged = ranked.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    return numbered(cut_lineage(ranged), keys, order, F.col("_part"), out).drop("_part")
+
+
 def listed_and_rest(ranked: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key with a position, and how many rank below them."""
     total = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -552,28 +552,56 @@ def _(spark, sf):
 @query("O02_rank_for_reader", """
 SELECT case_id, arm, seed::BIGINT AS seed, ord, path, severity, predicted = 1 AND measured = 1 AND m_value IS NOT NULL AS settled,
   row_number() OVER (PARTITION BY case_id, arm, seed ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, (predicted = 1 AND measured = 1 AND m_value IS NOT NULL) DESC, path, line, ord) AS position
-FROM findings_flat QUALIFY position <= 50
+FROM findings_flat
 """, FLAT)
 def _(spark, sf):
-    """The reader's list of each report; 50 rows are shown."""
-    ranked = ranking.rank_for_reader(b.findings(spark, sf))
-    head = ranking.listed_and_rest(ranked, RUN, ranking.reader_order(), 50)
-    return head.select(*RUN, "ord", "path", "severity", "settled", "position")
+    """The reader's list of each report, whole."""
+    ranked = ranking.rank_for_reader(b.findings(spark, sf)).select(*RUN, "ord", "path", "line", "severity", "settled", "level")
+    return ranking.positions(ranked, RUN, ranking.reader_order()).select(*RUN, "ord", "path", "severity", "settled", "position")
 
 
-@query("U02_dropped_ledger", SHAPED.replace("shaped AS", "shaped0 AS").replace("FROM findings_flat", "FROM judged").join([GATED + ",", ""]) + f""",
-wide AS (SELECT *, shape AS shp, len(string_split(shape, ' ')) >= 5 AS cmp FROM shaped0),
+LEDGER = SHAPED.replace("shaped AS", "shaped0 AS").replace("FROM findings_flat", "FROM judged").join([GATED + ",", ""]) + rf""",
+idx AS (SELECT DISTINCT repo_id, tbl, string_split(cols, ',')[1] AS c FROM operations_flat WHERE kind IN ('create_index', 'create_unique_constraint') AND cols <> ''),
+cl AS (SELECT repo_id, ord, regexp_extract(mechanism, 'joins (t[0-9]+) rows', 1) AS tbl, regexp_extract(mechanism, 'filters on (c[0-9]+), a column with no index', 1) AS c FROM findings_flat),
+gone AS (SELECT DISTINCT cl.repo_id, ord, cl.tbl || '.' || cl.c || ' is indexed by a migration in this repository, so the finding''s premise is false' AS why FROM cl JOIN idx USING (repo_id, tbl, c)),
+wide AS (SELECT s.*, len(string_split(shape, ' ')) >= 5 AS cmp FROM shaped0 s ANTI JOIN gone USING (repo_id, ord)),
 grps AS (SELECT case_id, arm, seed, layer, shape, count(DISTINCT path) AS files, min((-({_SEV}), path, ord)) AS best FROM wide WHERE cmp GROUP BY ALL HAVING count(DISTINCT path) >= 3),
-led AS (SELECT case_id, arm, seed, 'rejected' AS stage FROM judged WHERE reject_reason IS NOT NULL
-  UNION ALL SELECT w.case_id, w.arm, w.seed, 'collapsed' FROM wide w JOIN grps g USING (case_id, arm, seed, layer, shape) WHERE cmp AND ord <> best[3])
-SELECT case_id, arm, seed::BIGINT AS seed, stage, count(*) AS n FROM led GROUP BY ALL
-""", FLAT)
+led AS (SELECT case_id, arm, seed, path, symbol, 'rejected' AS stage, reject_reason AS reason FROM judged WHERE reject_reason IS NOT NULL
+  UNION ALL SELECT case_id, arm, seed, path, symbol, 'withdrawn', why FROM judged JOIN gone USING (repo_id, ord)
+  UNION ALL SELECT w.case_id, w.arm, w.seed, path, symbol, 'collapsed', 'collapsed into the same finding at ' || best[2] || ': the same mechanism in ' || files || ' files is one property of the service'
+    FROM wide w JOIN grps g USING (case_id, arm, seed, layer, shape) WHERE cmp AND ord <> best[3])"""
+
+
+def judged_findings(spark, sf) -> dict[str, DataFrame]:
+    """What survives the gate, the migrations and the collapse, and what each of them takes out."""
+    kept, rejected = gates.normalise_drafts(b.drafts(spark, sf), keys=[*RUN, "repo_id"])
+    kept, withdrawn = claims.withdraw_index_claims(kept, claims.indexed_columns(b.operations(spark, sf)))
+    kept, collapsed = claims.collapse_repeats(kept)
+    return {"kept": kept, "rejected": rejected, "withdrawn": withdrawn, "collapsed": collapsed}
+
+
+@query("U02_dropped_ledger", LEDGER + " SELECT case_id, arm, seed::BIGINT AS seed, path, symbol, stage, reason FROM led", (*FLAT, "operations_flat"))
+def _(spark, sf):
+    """Every row of the ledger: rejected predictions, withdrawn and collapsed findings."""
+    parts = judged_findings(spark, sf)
+    parts.pop("kept")
+    columns = [*RUN, "path", "symbol", "reason"]
+    return ranking.dropped_ledger(**{stage: df.select(*columns) for stage, df in parts.items()})
+
+
+@query("U02b_ledger_balance", LEDGER + """,
+n AS (SELECT case_id, arm, seed, count(*) AS n FROM findings_flat GROUP BY ALL),
+d AS (SELECT case_id, arm, seed, count(*) FILTER (stage = 'withdrawn') AS withdrawn, count(*) FILTER (stage = 'collapsed') AS collapsed FROM led GROUP BY ALL)
+SELECT case_id, arm, seed::BIGINT AS seed, n AS given, n - coalesce(withdrawn, 0) - coalesce(collapsed, 0) AS kept, coalesce(withdrawn, 0) AS withdrawn, coalesce(collapsed, 0) AS collapsed, TRUE AS balanced
+FROM n LEFT JOIN d USING (case_id, arm, seed)
+""", (*FLAT, "operations_flat"))
 def _(spark, sf):
-    """Counts of the ledger per stage; the balance itself is a unit test."""
-    kept, rejected = gates.normalise_drafts(b.drafts(spark, sf))
-    _, collapsed = claims.collapse_repeats(kept)
-    ledger = ranking.dropped_ledger(rejected=rejected, collapsed=collapsed)
-    return ledger.groupBy(*RUN, "stage").agg(F.count(F.lit(1)).alias("n"))
+    """Per report: what was given is what is kept, withdrawn or collapsed; a rejected prediction leaves its finding."""
+    parts = {"given": b.drafts(spark, sf), **judged_findings(spark, sf)}
+    parts.pop("rejected")
+    rows = ranking.dropped_ledger(**{stage: df.select(*RUN) for stage, df in parts.items()})
+    counts = rows.groupBy(*RUN).agg(*[F.count_if(F.col("stage") == stage).alias(stage) for stage in parts])
+    return counts.withColumn("balanced", F.col("given") == F.col("kept") + F.col("withdrawn") + F.col("collapsed"))
 
 
 @query("J15_resolve_citations", """

@@ -201,9 +201,9 @@ def _(spark, sf):
     )
 
 
-@query("W09_recent_steps", EVENTS + " SELECT run_id, seq, event FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 40", EV)
+@query("W09_recent_steps", EVENTS + " SELECT run_id, seq, event FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 400", EV)
 def _(spark, sf):
-    return ranking.recent_steps(b.events(spark, sf), 40).select("run_id", "seq", "event")
+    return ranking.recent_steps(b.events(spark, sf)).select("run_id", "seq", "event")
 
 
 # -- journals and calls ------------------------------------------------------------------------------

@@ -171,6 +171,24 @@ def test_sampled_permutation_in_blocks(spark, monkeypatch):
         assert p == pytest.approx(limit(), abs=0.03)
 
 
+def test_positions_without_a_window_over_a_report(spark):
+    rows = [("big" if i % 10 else "small", (i * 7919) % 500, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, ord int").repartition(7)
+    got = ranking.positions(df, ["k"], [F.desc("v"), F.asc("ord")]).collect()
+    assert len(got) == 3000
+    for k in ("big", "small"):
+        want = sorted((-v, i) for x, v, i in rows if x == k)
+        assert [(-r.v, r.ord) for r in sorted((r for r in got if r.k == k), key=lambda r: r.position)] == want
+        assert sorted(r.position for r in got if r.k == k) == list(range(1, len(want) + 1))
+    assert ranking.positions(df.limit(0), ["k"], [F.desc("v")]).count() == 0
+
+
+def test_compose_files_need_the_yaml_module(monkeypatch):
+    monkeypatch.setattr(declarations, "yaml", None)
+    with pytest.raises(ModuleNotFoundError):
+        declarations._load("services: {}")
+
+
 def test_verdict_words(spark):
     rows = spark.createDataFrame([(0.9,), (0.1,), (0.01,), (None,)], "p double").select(stats.verdict(F.col("p")))
     assert [r[0] for r in rows.collect()] == ["no detectable difference", "suggestive, not significant", "significant", "not measured"]
