@@ -232,7 +232,7 @@ def _needs(sql: str) -> list[str]:
 
 @cache
 def _duck(name: str) -> str:
-    sql = VIEWS[name].replace("MILLIS(", "epoch_ms(")
+    sql = VIEWS[name].replace("MILLIS(ts)", "(epoch_us(ts) // 1000)")
     for n in _needs(sql):
         sql = sql.replace("{" + n + "}", n)
     return f"{name} AS ({sql.replace('{{', '{').replace('}}', '}').strip()})"

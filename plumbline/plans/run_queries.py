@@ -192,9 +192,18 @@ def _(spark, sf):
     return ev.sequence_check(kept)
 
 
-@query("W07_agent_spans")
+@query("W07_agent_spans", EVENTS + """,
+m AS (SELECT run_id, 'a' || (k % 3) AS agent, seq, offset_ms AS moment, event = 'agent.started' AS starts, row_number() OVER (PARTITION BY run_id, k % 3 ORDER BY seq) AS r FROM e),
+walk(run_id, agent, r, seq, moment, opens, held) AS (
+  SELECT run_id, agent, r, seq, moment, TRUE, CAST(1 AS BIGINT) FROM m WHERE r = 1
+  UNION ALL SELECT m.run_id, m.agent, m.r, m.seq, m.moment, m.starts OR w.held = 0, CASE WHEN m.starts OR w.held = 0 THEN w.held + 1 ELSE w.held - 1 END
+  FROM walk w JOIN m ON m.run_id = w.run_id AND m.agent = w.agent AND m.r = w.r + 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY run_id, agent, opens ORDER BY seq) AS n FROM walk)
+SELECT o.run_id, o.agent, o.n, o.moment AS started_at, CASE WHEN x.moment IS NOT NULL THEN greatest(x.moment, o.moment) END AS ended_at
+FROM c o LEFT JOIN c x ON x.run_id = o.run_id AND x.agent = o.agent AND x.n = o.n AND NOT x.opens WHERE o.opens
+""", EV)
 def _(spark, sf):
-    """A first-in first-out walk, checked against a plain fold in the tests."""
+    """A first-in first-out walk; the SQL takes it mention by mention."""
     e = b.numbered_events(spark, sf)
     return ev.agent_spans(
         e.select("run_id", F.concat(F.lit("a"), (F.col("k") % 3).cast("string")).alias("agent"), "seq", F.col("offset_ms").alias("at"), (F.col("event") == "agent.started").alias("is_start"))

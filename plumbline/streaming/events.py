@@ -26,6 +26,8 @@ PAYLOAD = (
     "report struct<usd:double,coverage:struct<analysed:array<string>>>"
 )
 SLICE = 20_000
+#: Slices of a run that one node of the tree of open spans composes.
+FAN = 64
 
 
 def rejection() -> Column:
@@ -403,34 +405,64 @@ def _mark_slice(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(opens=opens)[["run_id", "agent", "seq", "at", "opens"]]
 
 
+def _moved(open_spans: Column, effect: Column) -> Column:
+    """How many spans are open after a slice that ``open_spans`` were open before."""
+    low = F.when(open_spans % 2 == 0, effect["even"]).otherwise(effect["odd"])
+    return F.when(open_spans >= effect["deep"], open_spans + effect["shift"]).otherwise(low)
+
+
+def _entering(effects: DataFrame) -> DataFrame:
+    """(run_id, agent, _slice, _open): how many spans are open where each slice begins.
+
+    Up the tree the effects of ``FAN`` neighbours at a time become one effect of the same four numbers: below ``deep`` only
+    the parity of what was open counts, as counts of equal parity have met by then. Down the tree each node tells its
+    neighbours what they begin with. A list holds ``FAN`` effects at most.
+    """
+    keys = ["run_id", "agent"]
+    nodes, top, levels = effects.withColumnRenamed("_slice", "_node"), effects.agg(F.max("_slice")).first()[0] or 0, []
+    whole = F.aggregate(
+        "_parts",
+        F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in (("shift", 0), ("deep", 0), ("even", 0), ("odd", 1))]),
+        lambda acc, s: F.struct(
+            (acc["shift"] + s["shift"]).alias("shift"),
+            F.greatest(acc["deep"], s["deep"] - acc["shift"]).alias("deep"),
+            _moved(acc["even"], s).alias("even"),
+            _moved(acc["odd"], s).alias("odd"),
+        ),
+    )
+    while not levels or top:
+        parts = F.array_sort(F.collect_list(F.struct("_node", "shift", "deep", "even", "odd"))).alias("_parts")
+        levels.append(cut_lineage(nodes.groupBy(*keys, F.floor(F.col("_node") / FAN).alias("_up")).agg(parts)))
+        nodes = levels[-1].select(*keys, F.col("_up").alias("_node"), whole.alias("_w")).select(*keys, "_node", "_w.*")
+        top //= FAN
+    opened = levels[-1].select(*keys, F.col("_up").alias("_node"), F.lit(0).cast("bigint").alias("_open"))
+    begins = F.aggregate(
+        "_parts",
+        F.struct(F.col("_open").alias("open"), F.array().cast("array<struct<_node:bigint,_open:bigint>>").alias("out")),
+        lambda acc, s: F.struct(
+            _moved(acc["open"], s).alias("open"),
+            F.concat(acc["out"], F.array(F.struct(s["_node"].alias("_node"), acc["open"].alias("_open")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    for level in reversed(levels):
+        told = level.join(opened.withColumnRenamed("_node", "_up"), [*keys, "_up"])
+        opened = told.select(*keys, F.explode(begins).alias("_e")).select(*keys, "_e.*")
+    return opened.withColumnRenamed("_node", "_slice")
+
+
 def agent_spans(mentions: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """``mentions(run_id, agent, seq, at, is_start)`` to spans (run_id, agent, n, started_at, ended_at).
 
     A start opens a span; any other mention closes the oldest open one, or opens one where none is.
     The count of open spans moves as x -> x+1 or x -> |x-1|, so a slice of a run is summed up by four
-    numbers, the slices are chained over that short list, and the n-th opening meets the n-th closing
-    by an equi-join. No run is ever held by one task.
+    numbers, which a tree of ``FAN`` slices to a node composes and hands down again, and the n-th opening
+    meets the n-th closing by an equi-join. No run is ever held by one task, nor its list of slices by one row.
     """
     sliced = mentions.withColumn("_slice", F.floor(F.col("seq") / slice_rows))
     effect = "run_id string, agent string, _slice bigint, shift bigint, deep bigint, even bigint, odd bigint"
     effects = sliced.groupBy("run_id", "agent", "_slice").applyInPandas(_slice_effect, effect)
-    # one struct per slice: a run of a billion mentions has 50,000 of them
-    chain = effects.groupBy("run_id", "agent").agg(
-        F.array_sort(F.collect_list(F.struct("_slice", "shift", "deep", "even", "odd"))).alias("_chain")
-    )
-    entering = F.aggregate(
-        "_chain",
-        F.struct(F.lit(0).cast("bigint").alias("open"), F.array().cast("array<struct<_slice:bigint,_open:bigint>>").alias("out")),
-        lambda acc, s: F.struct(
-            F.when(acc["open"] >= s["deep"], acc["open"] + s["shift"])
-            .when(acc["open"] % 2 == 0, s["even"])
-            .otherwise(s["odd"])
-            .alias("open"),
-            F.concat(acc["out"], F.array(F.struct(s["_slice"].alias("_slice"), acc["open"].alias("_open")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    opened = chain.select("run_id", "agent", F.explode(entering).alias("e")).select("run_id", "agent", "e.*")
+    opened = _entering(cut_lineage(effects))
     # both sides of the pairing read this, so the walk is written once instead of run twice
     marked = cut_lineage(
         sliced.join(opened, ["run_id", "agent", "_slice"])

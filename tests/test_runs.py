@@ -4,6 +4,7 @@ import random
 import time
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -92,8 +93,10 @@ def test_history_folds(spark):
     assert got["a"].summary == "2026-01-01 00:00:00  read 167 of 167 modules, 4 findings, $1.8700, r.md"
 
 
-def test_spans_equal_the_plain_fold(spark):
-    rnd = random.Random(11)
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_spans_equal_the_plain_fold(spark, monkeypatch, fan):
+    monkeypatch.setattr(ev, "FAN", fan)
+    rnd = random.Random(11 + fan)
     rows = [("r", rnd.choice("xy"), i, rnd.randint(0, 500), rnd.random() < 0.45) for i in range(400)]
     df = spark.createDataFrame(rows, "run_id string, agent string, seq bigint, at bigint, is_start boolean")
     want = []
