@@ -30,6 +30,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.length(known), F.lit(-1)), known, F.col(text_col)).cast("binary"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later readers survive a lost executor and start no replay."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -1,15 +1,20 @@
-"""Benchmark items inside documents: item-sized windows, a prefix index of their rarest shingles, exact similarity of counts.
+"""Benchmark items inside documents: SimHash of item-sized windows, a multi-index of Hamming blocks, exact similarity of counts.
 
 Everything is a DataFrame operation: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import row_key, written
+from plumbline.llm.common import row_key, unused, written
 
+#: Fingerprints of 64 bits in eight blocks; two within RADIUS differ by NEAR bits at most in one block.
+BLOCKS, WIDTH, NEAR = 8, 8, 2
+RADIUS = BLOCKS * (NEAR + 1) - 1
 #: A benchmark of more shingles than this is joined by shuffle; a row takes some 40 bytes.
 MOST_BROADCAST = 1_000_000
 #: Kept off a bound before it is rounded up, so that a similarity of just the least one is within it.
@@ -29,6 +34,48 @@ def shingles(hashes: Column, words: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(words)]))
 
 
+def simhashes(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, print) from rows (keys, words): each bit is the sign of the vote of all words, each as often as it stands."""
+    votes = rows.select(*keys, F.explode("words").alias("w")).groupBy(*keys)
+    ones = votes.agg(
+        F.count("*").alias("votes"), *[F.sum(F.shiftrightunsigned("w", b).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{b}") for b in range(64)]
+    )
+    sign = F.lit(0).cast("bigint")
+    for b in range(64):
+        one = F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")
+        sign = sign.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("votes"), one).otherwise(F.lit(0).cast("bigint")))
+    return ones.select(*keys, sign.alias("print"))
+
+
+def blocks_of(fingerprint: Column) -> Column:
+    """The blocks of a fingerprint as (block, value)."""
+    low = F.lit((1 << WIDTH) - 1).cast("bigint")
+    parts = [F.shiftrightunsigned(fingerprint, k * WIDTH).bitwiseAND(low).cast("int") for k in range(BLOCKS)]
+    return F.array(*[F.struct(F.lit(k).alias("block"), x.alias("value")) for k, x in enumerate(parts)])
+
+
+def dense_starts(hits: Column, n: Column, length: Column, words: int, similarity: float) -> Column:
+    """Every word at which a window of ``length`` begins that holds enough of ``hits``, in ascending order.
+
+    ``hits`` are the sorted places of a text of ``n`` words whose shingles stand in some item of that length. Two runs of x
+    and y shingles are alike only if they share s(x+y)/(1+s) of them, so no window with fewer hits can be. Each stretch of
+    that many successive hits names the starts from which it is covered and the stretch before is not.
+    """
+    own = length - (words - 1)
+    there = F.least(n, length) - (words - 1)
+    needed = F.ceil((there + own) * similarity / (1 + similarity) - SLACK).cast("int")
+    more = F.size(hits) - needed
+    at = F.when(more >= 0, F.sequence(F.lit(0), more)).otherwise(F.array().cast("array<int>"))
+
+    def span(i: Column) -> Column:
+        fresh = F.when(i > 0, F.get(hits, i - 1) + 1).otherwise(F.lit(0))
+        first = F.greatest(F.get(hits, i + needed - 1) - there + 1, fresh, F.lit(0))
+        return F.struct(first.alias("first"), F.least(F.get(hits, i), n - F.least(n, length)).alias("last"))
+
+    spans = F.filter(F.transform(at, span), lambda x: x["first"] <= x["last"])
+    return F.flatten(F.transform(spans, lambda x: F.sequence(x["first"], x["last"])))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -44,63 +91,65 @@ def find_leaks(
     The similarity of two runs of words is the sum of the smaller counts over the sum of the larger counts of their
     ``words``-word shingles. ``start`` is the word at which the most similar window begins.
 
-    1. Windows of each item length stand where a document's shingle meets an item's: the shared shingle's place in the item
-       says where the window begins. Windows at which fewer shingles agree than any edit of the item can leave at one
-       beginning are not looked at: a similar window shares 2s/(1+s) of its shingles, and each of the others can shift the
-       rest once.
-    2. An item at that similarity shares all but a few of its shingles with the window, so of any that many and one more at
-       least one is shared. The index holds that many of each item's shingles, those that the fewest items have; windows of
-       its length that hold one of them are its candidates, and no pair at the similarity is missed here.
-    3. Candidates are compared exactly.
+    1. Windows of each item length begin at every word from which enough shingles of items of that length are met, in
+       whatever order and from whichever items; no window at the similarity has fewer (``dense_starts``).
+    2. Distinct windows get a SimHash of their words. The index holds the blocks of every item's SimHash with all changes
+       of up to ``NEAR`` bits, so that each item within ``RADIUS`` bits meets the window in one block at least.
+    3. Pairs within the radius are compared exactly.
+
+    Steps 1 and 3 lose nothing. In step 2 two runs at the similarity differ by a tenth of their words or less, which turns
+    9 of 64 bits on average and more than ``RADIUS`` about once in a million pairs; words that repeat much within an item
+    can make that more.
 
     Words are lower-cased runs of letters and digits. A null or blank text holds nothing and is never found; an item of fewer
     than ``words`` words is one shingle, found where its words follow each other; a document shorter than an item is one
     window. Each distinct item text is searched by itself: a (document, item) pair has one row, for the best of the texts
-    under that item id, and null ids are reported as null. Other columns are not read; empty tables give no rows.
+    under that item id, and null ids are reported as null. Texts under one id are searched each by itself and give one row
+    for the best. Other columns are not read; empty tables give no rows.
     """
     named = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     named = named.withColumns({"length": F.size("words"), "item": F.md5(F.array_join("words", " ").cast("binary"))})
     named = written(named.dropDuplicates(["item_id", "item"]), "items")
     every = named.select("item", "length", "words").dropDuplicates(["item"])
     items = every.where(F.col("length") >= words)
-    texts = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), word_hashes(F.col(text_col)).alias("words"))
 
-    spots = items.select("length", F.posexplode(shingles(F.col("words"), words)).alias("place", "shingle")).distinct()
+    spots = items.select("length", F.explode(shingles(F.col("words"), words)).alias("shingle")).distinct()
     small = spots.count() + named.count() <= MOST_BROADCAST
     if small:
         spots = F.broadcast(spots)
     met = (
-        texts.select("id", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), words)).alias("at", "shingle"))
+        texts.select("key", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), words)).alias("at", "shingle"))
         .join(spots, "shingle")
-        .groupBy("id", "n", "length", (F.col("at") - F.col("place")).alias("begin"))
-        .agg(F.count("*").alias("agree"))
+        .groupBy("key", "n", "length")
+        .agg(F.sort_array(F.collect_set("at")).alias("hits"))
     )
-    own = F.col("length") - (words - 1)
-    share = 2 * similarity / (1 + similarity)
-    needed = F.ceil(own * share / (own * (1 - share) + 1) - SLACK)
-    start = F.greatest(F.lit(0), F.least(F.col("begin"), F.col("n") - F.col("length")))
-    windows = met.where(F.col("agree") >= F.least(needed, F.col("n"))).select("id", "length", start.alias("start")).distinct()
-    windows = written(windows.withColumnRenamed("id", "window_id"), "windows")
+    starts = dense_starts(F.col("hits"), F.col("n"), F.col("length"), words, similarity)
+    windows = met.select("key", "length", starts.alias("starts")).where(F.size("starts") > 0)
+    windows = written(windows.withColumnRenamed("key", "window_key"), "windows")
 
     cut = F.slice(F.col("words"), F.col("start") + 1, F.col("length"))
-    seen = texts.join(windows, F.col("id").eqNullSafe(F.col("window_id"))).select("id", "length", "start", cut.alias("words"))
+    seen = texts.join(windows, F.col("key") == F.col("window_key")).select("id", "length", "words", F.explode("starts").alias("start"))
+    seen = seen.select("id", "length", "start", cut.alias("words"))
     seen = written(
         seen.withColumns({"k": F.xxhash64("words"), "j": F.xxhash64(F.lit(5), F.col("words"))}), "windows-seen"
     )
-    runs = seen.select("k", "j", "length", "words").dropDuplicates(["k", "j", "length"])
+    runs = written(seen.select("k", "j", "length", "words").dropDuplicates(["k", "j", "length"]), "runs")
+
+    changes = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(WIDTH), n)]
+    index = simhashes(items, "item", "length").select("item", "length", F.col("print").alias("item_print"), F.explode(blocks_of(F.col("print"))).alias("x"))
+    index = index.select("item", "length", "item_print", "x.*", F.explode(F.array(*map(F.lit, changes))).alias("change"))
+    index = index.withColumn("value", F.col("value").bitwiseXOR(F.col("change"))).drop("change")
+    probes = simhashes(runs, "k", "j", "length").withColumn("x", F.explode(blocks_of(F.col("print"))))
+    probes = probes.select("k", "j", "length", "print", "x.*")
+    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
+    near = probes.join(index, ["length", "block", "value"]).where(apart <= RADIUS).select("k", "j", "item", "length").distinct()
 
-    shared = F.ceil(own * similarity - SLACK)
+    own = F.col("length") - (words - 1)
     listed = items.select("item", "length", F.explode(shingles(F.col("words"), words)).alias("shingle"))
     listed = written(listed.groupBy("item", "length", "shingle").agg(F.count("*").alias("there")), "listed")
-    rare = listed.join(listed.groupBy("length", "shingle").agg(F.count("*").alias("items")), ["length", "shingle"])
-    before = Window.partitionBy("item").orderBy("items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = rare.withColumn("before", F.coalesce(F.sum("there").over(before), F.lit(0))).where(F.col("before") <= own - shared)
-    prefix = prefix.select("item", "length", "shingle")
     if small:
-        prefix, listed = F.broadcast(prefix), F.broadcast(listed)
-    probes = runs.select("k", "j", "length", F.explode(F.array_distinct(shingles(F.col("words"), words))).alias("shingle"))
-    near = probes.join(prefix, ["length", "shingle"]).select("k", "j", "item", "length").distinct()
-
+        listed = F.broadcast(listed)
     said = near.join(runs, ["k", "j", "length"])
     counts = said.select("k", "j", "length", "item", F.size("words").alias("n"), F.explode(shingles(F.col("words"), words)).alias("shingle"))
     counts = counts.groupBy("k", "j", "length", "item", "n", "shingle").agg(F.count("*").alias("here"))
@@ -129,6 +178,7 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` in which no benchmark item is found; each row answers for its own text only."""
-    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
-    found = find_leaks(keyed, benchmark, "_row_key", text_col).select(F.col("_row_key").alias("_leaked")).distinct()
-    return keyed.join(found, F.col("_row_key") == F.col("_leaked"), "left_anti").drop("_row_key")
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    found = find_leaks(keyed, benchmark, key, text_col).select(key).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)

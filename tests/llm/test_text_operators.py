@@ -205,6 +205,61 @@ def test_leaks_just_at_the_similarity_are_all_found(spark):
     assert min(want.values()) == 0.8 and max(want.values()) < 0.85 and got == pytest.approx(want)
 
 
+def _best_windows(text, items, words=5, least=0.8):
+    """By brute force: every window of every item's length, each compared whole."""
+    grams = lambda w: Counter(tuple(w[k : k + words]) for k in range(len(w) - words + 1))
+    found = {}
+    for key, item in items.items():
+        want = grams(item)
+        for start in range(max(0, len(text) - len(item)) + 1):
+            here = grams(text[start : start + len(item)])
+            alike = sum((here & want).values()) / max(1, sum((here | want).values()))
+            if alike >= least and alike > found.get(key, (0, 0))[0]:
+                found[key] = (alike, start)
+    return found
+
+
+def test_leaks_against_every_window(spark):
+    """Items edited, cut, shifted, turned round and in another order, beside a search of all windows."""
+    rnd = np.random.default_rng(23)
+    pool = [f"v{x:x}" for x in range(60)]
+    draw = lambda n: [f"w{x:x}" for x in rnd.integers(0, 2**60, n)]
+    items, texts = {}, {}
+    for k in range(240):
+        n = (15, 39, 59)[k % 3]
+        item = draw(n) if k % 4 else list(rnd.choice(pool, n))
+        at, half = int(rnd.integers(1, n - 1)), n // 2
+        kinds = [
+            item[:at] + draw(1) + item[at:],
+            item[:at] + item[at + 1 :],
+            item[2:] if k % 2 else item[:-2],
+            item[at:] + item[:at],
+            item[half:] + item[:half],
+            item[1:at] + draw(1) + item[at:] + item[:1],
+            item[:-1] + draw(1),
+            item + item[: n // 3],
+        ]
+        items[k] = item
+        told = kinds[k // 3 % 8]
+        texts[k] = told if k % 11 == 0 else draw(int(rnd.integers(0, 9))) + told + draw(7)
+    texts[900], texts[901] = sum((items[k] for k in range(8)), []), items[1][:-1] + items[1]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    docs = docs_of(spark, [(k, " ".join(x)) for k, x in texts.items()])
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = {(k, j): v for k, x in texts.items() for j, v in _best_windows(x, items).items()}
+    assert len(want) > 140 and got.keys() == want.keys()
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()})
+
+
+def test_leaks_do_not_touch_other_columns(spark):
+    item = sentence(60, 20)
+    docs = docs_of(spark, [(None, f"a {item}"), (None, "clean"), (1, None), (1, item)]).selectExpr("*", "'x' row_key", "'y' _leaked")
+    left = decontaminate.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns
+    assert {(r.doc_id, r.text, r.row_key, r._leaked) for r in left.collect()} == {(None, "clean", "x", "y"), (1, None, "x", "y")}
+
+
 def test_repeats(spark, odd, empty):
     shared = sentence(70, 45)
     texts = [(k, f"{sentence(k, 20)} {shared} {sentence(k + 500, 20)}") for k in range(30)] + [(40, sentence(40, 200)), (41, sentence(40, 200))]
