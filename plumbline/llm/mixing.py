@@ -9,6 +9,8 @@ from plumbline.llm.common import WORD, written
 
 #: Items of one bucket of the tree, on average; the buckets of one level are the items of the next.
 FAN = 64
+#: Copies of one row that one task numbers at a time.
+CHUNK = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -43,9 +45,20 @@ def _chance(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """Rows (id, source, size, copy) from rows (id, source, size, n): n of each, numbered from 0; many copies in parts."""
+    same = ("id", "source", "size")
+    few = counted.where(F.col("n") <= CHUNK).select(*same, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy"))
+    last = F.floor((F.col("n") - 1) / CHUNK)
+    parts = counted.where(F.col("n") > CHUNK).select(*same, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
+    first = F.col("part") * CHUNK
+    copies = F.sequence(first, F.least(F.col("n"), first + CHUNK) - 1)
+    return few.unionByName(parts.repartition(*same, "part").select(*same, F.explode(copies).alias("copy")))
+
+
 def _paired(items: Column, seed: int, level: int) -> Column:
     """One fold over a bucket: (what is settled, the one item still fractional)."""
-    item = "struct<id:string,size:bigint,p:double>"
+    item = "struct<id:string,size:bigint,copy:bigint,p:double>"
     zero = F.struct(
         F.expr("cast(array() as array<struct<id:string,size:bigint,extra:bigint>>)").alias("settled"),
         F.expr(f"cast(null as {item})").alias("open"),
@@ -55,7 +68,7 @@ def _paired(items: Column, seed: int, level: int) -> Column:
         return F.array(F.struct(x["id"].alias("id"), x["size"].alias("size"), F.lit(extra).cast("bigint").alias("extra")))
 
     def left(x: Column, p: Column) -> Column:
-        return F.struct(x["id"].alias("id"), x["size"].alias("size"), p.alias("p"))
+        return F.struct(x["id"].alias("id"), x["size"].alias("size"), x["copy"].alias("copy"), p.alias("p"))
 
     def state(acc: Column, done: Column, rest: Column) -> Column:
         return F.struct(F.concat(acc["settled"], done).alias("settled"), rest.alias("open"))
@@ -63,7 +76,7 @@ def _paired(items: Column, seed: int, level: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         a = acc["open"]
         both = a["p"] + x["p"]
-        u = _chance(F.lit(seed), F.lit(level), a["id"], x["id"], a["size"], x["size"], F.size(acc["settled"]))
+        u = _chance(F.lit(seed), F.lit(level), a["id"], x["id"], a["size"], x["size"], a["copy"], x["copy"])
         below = F.when(u * both < x["p"], state(acc, settle(a, 0), left(x, both))).otherwise(
             state(acc, settle(x, 0), left(a, both))
         )
@@ -92,28 +105,29 @@ def mix_sources(
     rounded by the pivotal method: two fractions meet, one takes mass from the other at random until one is 0 or 1, and
     the other goes on; the expected copies of each document stay as wanted and their number in the source stays fixed.
     Buckets of like size are folded first, what each leaves over is folded 64 buckets at a time, and the size classes of
-    a source last, so that no task holds a source and the words taken stray by about one document.
+    a source last, so that no task holds a source and the words taken stray by about one document. Rows of one id, source
+    and size are counted and then numbered, so that they lie in as many buckets as any others.
 
     A null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last in order. Repeated
     rows are separate documents. Reruns agree. Other columns are not read; an empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType
-    sizes = written(
-        docs.select(
-            F.col(id_col).cast("string").alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "sizes",
+    sizes = docs.select(
+        F.col(id_col).cast("string").alias("id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    rated = source_targets(sizes, weights, share, cap).withColumn(
+    counted = written(sizes.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    summed = counted.select("source", (F.col("size") * F.col("n")).alias("size"))
+    rated = source_targets(summed, weights, share, cap).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
     size_class = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int")
-    classed = sizes.withColumn("class", F.when(F.col("size") > 0, size_class).otherwise(-1))
+    size_class = F.when(F.col("size") > 0, size_class).otherwise(-1)
+    classed = _numbered(counted).withColumn("class", size_class)
     classes = (
-        classed.groupBy("source", "class")
-        .agg(F.ceil(F.count("*") / FAN).cast("long").alias("buckets"))
+        counted.groupBy("source", size_class.alias("class"))
+        .agg(F.ceil(F.sum("n") / FAN).cast("long").alias("buckets"))
         .withColumnRenamed("source", "s")
         .join(rated, F.col("s").eqNullSafe(F.col("source")))
         .drop("source")
@@ -124,18 +138,19 @@ def mix_sources(
         "id",
         "source",
         "size",
+        "copy",
         "class",
         "source_size",
         "target",
         F.floor("rate").cast("long").alias("whole"),
         (F.col("rate") - F.floor("rate")).alias("p"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("size")), F.col("buckets")).alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("size"), F.col("copy")), F.col("buckets")).alias("bucket"),
     )
     about = ("source", "source_size", "target", "whole")
     open_rows = (F.col("size") > 0) & (F.col("p") > 0)
     closed = rows.where(~open_rows).select("id", "size", "source_size", "target", F.col("whole").alias("copies"))
     items = rows.where(open_rows).select(
-        *about, "class", "bucket", F.struct("id", "size", "p").alias("item"), F.xxhash64("id", "size").alias("by")
+        *about, "class", "bucket", F.struct("id", "size", "copy", "p").alias("item"), F.xxhash64("id", "size", "copy").alias("by")
     )
     most = classes.agg(F.max("buckets")).first()[0] or 0
     levels = 1
@@ -151,7 +166,7 @@ def mix_sources(
         settled.append(folded.select(*about, F.explode("fold.settled").alias("x")))
         if last:
             end = F.col("fold.open")
-            chosen = (_chance(F.lit(seed), end["id"], end["size"]) < end["p"]).cast("bigint")
+            chosen = (_chance(F.lit(seed), end["id"], end["size"], end["copy"]) < end["p"]).cast("bigint")
             settled.append(
                 folded.where(end.isNotNull()).select(
                     *about, F.struct(end["id"].alias("id"), end["size"].alias("size"), chosen.alias("extra")).alias("x")

@@ -163,6 +163,19 @@ def test_mixing(spark, odd, empty):
     assert len(mixing.mix_sources(odd).collect()) == len(ODD)
 
 
+def test_mix_of_rows_alike(spark):
+    """Rows of no id and one size are dealt over buckets like any others, and lie apart in their draws."""
+    docs = spark.range(0, 20_000, 1, 16).selectExpr("cast(null as long) doc_id", "'a b c' text", "if(id % 4 = 0, 'x', null) source")
+    counted = docs.selectExpr("cast(doc_id as string) id", "source", "3L size").groupBy("id", "source", "size").count().withColumnRenamed("count", "n")
+    copies = mixing._numbered(counted).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m"))
+    assert {(r.source, r.n, r.d, r.m) for r in copies.collect()} == {("x", 5_000, 5_000, 4_999), (None, 15_000, 15_000, 14_999)}
+    count = lambda df: sorted((str(r.source_size), r.taken, r["count"]) for r in df.groupBy("source_size", "taken").count().collect())
+    one = mixing.mix_sources(docs)
+    for r in one.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect():
+        assert abs(r.taken - r.target) <= 3 and r.n * 3 == r.source_size
+    assert count(one) == count(mixing.mix_sources(docs.repartition(3)))
+
+
 def test_leaks(spark, odd, empty):
     bench = spark.createDataFrame([(1, sentence(50, 40)), (2, sentence(51, 20)), (3, None), (4, "two words")], "item_id long, text string")
     near = sentence(50, 40).split()
