@@ -98,7 +98,7 @@ def find_leaks(
     3. Pairs within the radius are compared exactly.
 
     Steps 1 and 3 lose nothing. In step 2 two runs at the similarity differ by a tenth of their words or less, which turns
-    9 of 64 bits on average and more than ``RADIUS`` about once in a million pairs; words that repeat much within an item
+    9 of 64 bits on average and more than ``RADIUS`` about five times in a million pairs; words that repeat much within an item
     can make that more.
 
     Words are lower-cased runs of letters and digits. A null or blank text holds nothing and is never found; an item of fewer
