@@ -476,8 +476,10 @@ def resolve_citations(
     row = [*keys, "obs_id"]
     listed = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_listed"))
     cites = observations.select(*row, F.explode_outer("cited").alias("position")).filter("position is not null")
-    found = spread_join(
-        cites.distinct(), ranked.select(*keys, "position", "path", "line", "symbol", "layer"), [*keys, "position"], "left"
+    asked = cites.distinct()
+    # the list is long and few of its positions are cited: only those are repeated over the salts
+    named = ranked.select(*keys, "position", "path", "line", "symbol", "layer").join(
+        asked.select(*keys, "position"), [*keys, "position"], "left_semi"
     )
     facts = found.groupBy(*row).agg(
         F.count("path").alias("_found"),

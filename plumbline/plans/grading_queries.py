@@ -621,7 +621,9 @@ def _(spark, sf):
     from plumbline.operators.scan import numbered
 
     d = b.drafts(spark, sf)
-    ranked = numbered(d, RUN, [F.col("ord")], F.floor(F.col("ord") / 10**11), "position")
+    # a slice is 62,500 orders, some 250,000 lines at most in one report, so a report's list of slices stays short
+    shown = d.select(*RUN, "ord", "path", "line", "symbol", "layer")
+    ranked = numbered(shown, RUN, [F.col("ord")], F.floor(F.col("ord") / 10**14), "position")
     obs = d.groupBy(*RUN, F.col("symbol").alias("obs_id")).agg(
         F.array(F.count(F.lit(1)).cast("int"), (F.max("line") + 10).cast("int"), (F.min("ord") % 5 + 1).cast("int")).alias("cited")
     ).withColumn("mechanism", F.concat(F.lit("link "), "obs_id")).withColumn("consequence", F.lit("together"))
