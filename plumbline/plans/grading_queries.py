@@ -13,6 +13,7 @@ from plumbline.operators import claims, gates, grading, ranking, stats
 from plumbline.plans import bindings as b
 from plumbline.plans.catalog import query
 from plumbline.schemas import RUN
+from plumbline.session import cut_lineage
 
 FLAT = ("findings_flat",)
 PRED = ["prediction.metric", "prediction.comparator", "prediction.value", "prediction.upper", "prediction.unit"]
@@ -511,17 +512,25 @@ w AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM z)
 SELECT 'all' AS pair, n, m, round(gap, 6) AS gap, round({ERFC}, 5) AS limit_p, TRUE AS near FROM w
 """, FLAT)
 def _(spark, sf):
-    """The sampled p beside the normal limit of the same permutation distribution: near is a distance of at most 0.02."""
-    rows = all_recalls(spark, sf)
+    """The sampled p beside the normal limit of the same permutation distribution: near is a distance of at most 0.02.
+
+    Where all values are equal there is no limit (not a number) and every relabelling is as far apart: near means p is 1.
+    """
+    rows = cut_lineage(all_recalls(spark, sf))
     left, value = F.col("side") == "a", F.col("value")
     limit = rows.filter("value is not null").groupBy("pair").agg(
         F.count_if(left).alias("n"), F.count_if(~left).alias("m"),
         F.abs(F.avg(F.when(left, value)) - F.avg(F.when(~left, value))).alias("gap"), F.var_samp(value).alias("spread"),
     )
-    limit = limit.withColumn("x", F.expr("gap / sqrt(2 * spread * (1.0D / n + 1.0D / m))")).withColumn("t", F.expr("1 / (1 + 0.3275911D * x)"))
+    flat = F.col("spread") == 0
+    x = F.expr("try_divide(gap, sqrt(2 * spread * (try_divide(1.0D, n) + try_divide(1.0D, m))))")
+    limit = limit.withColumn("x", F.when(flat & F.col("gap").isNotNull(), F.lit(float("nan"))).otherwise(x))
+    limit = limit.withColumn("t", F.expr("1 / (1 + 0.3275911D * x)"))
     limit = limit.withColumn("limit_p", F.expr(re.sub(r"(\d\.\d+)", r"\1D", ERFC)))
     both = limit.join(stats.permutation_sampled(rows, ["pair"]), "pair")
-    return both.select("pair", "n", "m", "gap", F.round("limit_p", 5).alias("limit_p"), (F.abs(F.col("p") - F.col("limit_p")) <= 0.02).alias("near"))
+    at = F.when(F.isnan("limit_p"), F.lit(1.0)).otherwise(F.col("limit_p"))
+    near = F.when(F.col("p").isNull() | at.isNull(), F.col("p").isNull() & at.isNull()).otherwise(F.abs(F.col("p") - at) <= 0.02)
+    return both.select("pair", "n", "m", "gap", F.round("limit_p", 5).alias("limit_p"), near.alias("near"))
 
 
 @query("Q04_verdict", PAIRS + """
