@@ -318,7 +318,7 @@ def attach_measurements(findings: DataFrame, measurements: DataFrame, defects: D
     )
     asked = findings.withColumn("_metric", F.col("prediction.metric"))
     return (
-        spread_join(asked, settled, ["case_id", "_metric", "path"], "left")
+        spread_join(asked, settled, ["case_id", "_metric", "path"], "left", by=["ord"])
         .withColumn("measurement", F.col("_m"))
         .drop("_metric", "_m")
     )

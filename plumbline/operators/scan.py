@@ -17,16 +17,17 @@ SLICE_ROWS = 50_000
 
 
 def spread_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16, by: Sequence[str] | None = None
 ) -> DataFrame:
     """Join where one key of ``big`` may hold a third of its rows.
 
     ``small`` is repeated once per salt and ``big`` is spread over the salts, so a hot key is shared
     by ``salts`` tasks whatever adaptive settings the session has. The salt is a hash of the row, so a
-    task that is run again deals its rows out the same way.
+    task that is run again deals its rows out the same way. ``by`` names the columns to hash where a few tell rows
+    apart: a hash of all computes every column, also those that nothing reads later.
     """
     keys = list(on)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[big[c] for c in _hashable(big)]), F.lit(salts)).cast("int"))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[big[c] for c in by or _hashable(big)]), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
