@@ -90,9 +90,10 @@ def reconcile(drafts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     return alone.unionByName(_merge(shared, keys))
 
 
-def _digest(*cols: str) -> Column:
+def _digest(*cols: str | Column) -> Column:
     """One short key for a list of columns; 128 bits, and sorts on its first bytes."""
-    return F.md5(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u001e")) for c in cols]))
+    named = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.md5(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("\u001e")) for c in named]))
 
 
 def _merge(drafts: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,12 +192,11 @@ def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     words = F.regexp_extract_all(
         F.regexp_replace(F.lower("mechanism"), dims.SPECIFICS, " "), F.lit("([a-z]+)"), 1
     )
-    shaped = (
-        findings.withColumn("_words", words)
-        .withColumn("_shape", F.when(F.size("_words") >= ENOUGH_WORDS, F.array_join("_words", " ")))
-        .withColumn("_same", F.when(F.col("_shape").isNotNull(), _digest(*keys, "layer", "_shape")))
-        .drop("_words", "_shape")
+    # bound by a lambda, the words are taken out of a sentence once; named as a column, each use would do it again
+    same = F.transform(
+        F.array(words), lambda w: F.when(F.size(w) >= ENOUGH_WORDS, _digest(*keys, "layer", F.array_join(w, " ")))
     )
+    shaped = findings.withColumn("_same", F.get(same, F.lit(0)))
     # earliest row of each severity: whole numbers only, so the first reduction is a hash aggregate
     level = severity_rank(F.col("severity"))
     per_file = (
@@ -227,7 +227,7 @@ def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
         .filter(F.col("_files") >= SYSTEMIC_FILES)
         .join(first, group)
     )
-    joined = spread_join(shaped, systemic, group, "left")
+    joined = spread_join(shaped, systemic, group, "left", by=["ord", "path"])
     merged = F.col("_files").isNotNull()
     survivor = merged & (F.col("ord") == F.col("_best.o"))
     files = F.col("_files").cast("string")
@@ -481,6 +481,7 @@ def resolve_citations(
     named = ranked.select(*keys, "position", "path", "line", "symbol", "layer").join(
         asked.select(*keys, "position"), [*keys, "position"], "left_semi"
     )
+    found = spread_join(asked, named, [*keys, "position"], "left")
     facts = found.groupBy(*row).agg(
         F.count("path").alias("_found"),
         # citations of one observation: what one answer names, not what the table holds
