@@ -7,6 +7,8 @@ written once for a batch and, where it differs, once for a stream.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -374,35 +376,42 @@ def sequence_check(events: DataFrame) -> DataFrame:
     )
 
 
-def _settle_slice(starts: list[bool], open_now: int) -> int:
-    for is_start in starts:
-        open_now = open_now + 1 if is_start else abs(open_now - 1)
-    return open_now
-
-
-def _slice_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How one slice changes the number of open spans: by ``shift`` from ``deep`` on, else by parity."""
-    starts = pdf.sort_values("seq")["is_start"].tolist()
-    level = lowest = 0
-    for is_start in starts:
-        level += 1 if is_start else -1
-        lowest = min(lowest, level)
-    row = pdf.iloc[0]
-    return pd.DataFrame(
-        [(row["run_id"], row["agent"], row["_slice"], level, -lowest, _settle_slice(starts, 0), _settle_slice(starts, 1))],
-        columns=["run_id", "agent", "_slice", "shift", "deep", "even", "odd"],
-    )
-
+def _slice_effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How each slice changes the number of open spans: by ``shift`` from ``deep`` on, else by parity.
 
-def _mark_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which mention opens a span and which closes one, given how many were open before the slice."""
-    pdf = pdf.sort_values("seq")
-    open_now, opens = int(pdf["_open"].iloc[0]), []
-    for is_start in pdf["is_start"]:
-        opening = bool(is_start) or open_now == 0
-        opens.append(opening)
-        open_now += 1 if opening else -1
-    return pdf.assign(opens=opens)[["run_id", "agent", "seq", "at", "opens"]]
+    Rows come sorted by slice and number, many slices to a batch; a slice may go on in the next one.
+    """
+    columns = ["run_id", "agent", "_slice", "shift", "deep", "even", "odd"]
+    key, level, lowest, even, odd = None, 0, 0, 0, 1
+    for pdf in batches:
+        done = []
+        for run, agent, cut, is_start in zip(pdf["run_id"], pdf["agent"], pdf["_slice"], pdf["is_start"], strict=True):
+            if (run, agent, cut) != key:
+                if key:
+                    done.append((*key, level, -lowest, even, odd))
+                key, level, lowest, even, odd = (run, agent, cut), 0, 0, 0, 1
+            level += 1 if is_start else -1
+            lowest = min(lowest, level)
+            even, odd = (even + 1, odd + 1) if is_start else (abs(even - 1), abs(odd - 1))
+        yield pd.DataFrame(done, columns=columns)
+    if key:
+        yield pd.DataFrame([(*key, level, -lowest, even, odd)], columns=columns)
+
+
+def _mark_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which mention opens a span and which closes one, given how many were open before its slice; rows sorted alike."""
+    key, open_now = None, 0
+    for pdf in batches:
+        opens = []
+        for run, agent, cut, before, is_start in zip(
+            pdf["run_id"], pdf["agent"], pdf["_slice"], pdf["_open"], pdf["is_start"], strict=True
+        ):
+            if (run, agent, cut) != key:
+                key, open_now = (run, agent, cut), before
+            opening = bool(is_start) or open_now == 0
+            opens.append(opening)
+            open_now += 1 if opening else -1
+        yield pdf.assign(opens=opens)[["run_id", "agent", "seq", "at", "opens"]]
 
 
 def _moved(open_spans: Column, effect: Column) -> Column:
@@ -459,15 +468,21 @@ def agent_spans(mentions: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     numbers, which a tree of ``FAN`` slices to a node composes and hands down again, and the n-th opening
     meets the n-th closing by an equi-join. No run is ever held by one task, nor its list of slices by one row.
     """
-    sliced = mentions.withColumn("_slice", F.floor(F.col("seq") / slice_rows))
+    # a mention of no run, agent or number meets no slice below
+    sliced = mentions.withColumn("_slice", F.floor(F.col("seq") / slice_rows)).dropna(subset=["run_id", "agent", "_slice"])
+    whole = ["run_id", "agent", "_slice"]
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition(*whole).sortWithinPartitions(*whole, "seq")
+
     effect = "run_id string, agent string, _slice bigint, shift bigint, deep bigint, even bigint, odd bigint"
-    effects = sliced.groupBy("run_id", "agent", "_slice").applyInPandas(_slice_effect, effect)
+    effects = in_order(sliced.select(*whole, "seq", "is_start")).mapInPandas(_slice_effects, effect)
     opened = _entering(cut_lineage(effects))
     # both sides of the pairing read this, so the walk is written once instead of run twice
     marked = cut_lineage(
-        sliced.join(opened, ["run_id", "agent", "_slice"])
-        .groupBy("run_id", "agent", "_slice")
-        .applyInPandas(_mark_slice, "run_id string, agent string, seq bigint, at bigint, opens boolean")
+        in_order(sliced.join(opened, whole).select(*whole, "seq", "at", "_open", "is_start")).mapInPandas(
+            _mark_slices, "run_id string, agent string, seq bigint, at bigint, opens boolean"
+        )
     )
     keys = ["run_id", "agent"]
     cut = F.floor(F.col("seq") / slice_rows)
