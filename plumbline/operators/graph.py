@@ -272,7 +272,9 @@ def not_read_breakdown(coverage: DataFrame, modules: DataFrame, most: int = 6) -
         F.count_if(F.col("depth").isNull()).alias("_none"),
         F.count_if(F.col("depth").isNotNull()).alias("_some"),
     )
-    read = coverage.groupBy("repo_id").agg(F.count_if(F.col("status") == "analysed").alias("read"))
+    # the ledger is counted once, by reason; both sides below read the counts
+    counted = cut_lineage(coverage.groupBy("repo_id", "status", F.col("reason").alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    read = counted.filter("status = 'analysed'").groupBy("repo_id").agg(F.sum("n").alias("read"))
     facts = (
         mapped.join(read, "repo_id", "left")
         .na.fill(0, ["read"])
@@ -288,9 +290,8 @@ def not_read_breakdown(coverage: DataFrame, modules: DataFrame, most: int = 6) -
         ),
     ).select("repo_id", F.lit("population").alias("kind"), "label", "n", ratio(F.col("n"), F.col("mapped")).alias("share"))
     reasons = (
-        coverage.filter("status = 'skipped'")
-        .groupBy("repo_id", F.col("reason").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        counted.filter("status = 'skipped'")
+        .select("repo_id", "label", "n")
         .withColumn("_r", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n"), "label")))
         .filter(F.col("_r") <= most)
         .select("repo_id", F.lit("reason").alias("kind"), "label", "n", F.lit(None).cast("double").alias("share"))

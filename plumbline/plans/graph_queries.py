@@ -30,12 +30,18 @@ mods AS (SELECT s.repo_id, s.p_partkey, s.path, s.loc, s.sigs, s.unmatched, s.ex
 LANG = "CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' ELSE 'cpp' END"
 
 
+@b.remembered
+def edges_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges, written once for depth, fan-in and neighbours."""
+    return cut_lineage(b.view(spark, sf, "edges_flat"))
+
+
 @b.remembered
 def mapped(spark: SparkSession, sf: str) -> DataFrame:
-    """Modules with fan-in and depth."""
-    mods, edges = b.modules(spark, sf), b.view(spark, sf, "edges_flat")
+    """Modules with fan-in and depth, written once: a document reads them five times."""
+    mods, edges = b.modules(spark, sf), edges_once(spark, sf)
     deep = graph.request_depth(mods, edges, graph.entrypoints_of(mods))
-    return graph.fan_in(deep, edges)
+    return cut_lineage(graph.fan_in(deep, edges))
 
 
 def reads(spark, sf):
@@ -187,7 +193,7 @@ VIEWS_V = ("modules_flat", "edges_flat", "findings_flat", "commit_files")
 def valued(spark, sf):
     churn = graph.churn(b.view(spark, sf, "commit_files"))
     mods = mapped(spark, sf).join(churn, ["repo_id", "path"], "left")
-    boosts = graph.suspect_neighbours(b.view(spark, sf, "edges_flat"), b.view(spark, sf, "findings_flat"))
+    boosts = graph.suspect_neighbours(edges_once(spark, sf), b.view(spark, sf, "findings_flat"))
     return graph.module_value(mods, boosts)
 
 

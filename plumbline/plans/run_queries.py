@@ -438,11 +438,11 @@ def sections(spark, sf) -> DataFrame:
     lost = mods.groupBy("repo_id").agg(F.count_if(F.col("depth").isNull()).alias("unreachable"))
     shares = cost.read_share(cover, mods, reports).join(lost, "repo_id")
     kept, dropped = gates.normalise_drafts(b.drafts(spark, sf), keys=["repo_id"])
-    ranked = ranking.rank_findings(kept, mods).withColumn("measurement", F.lit(None).cast(schemas.MEASUREMENT))
+    found = kept.withColumn("measurement", F.lit(None).cast(schemas.MEASUREMENT))
     schema = deployment.migration_rules(b.operations(spark, sf))
     none = schema.limit(0)
     services = b.services(spark, sf)
-    return document.document_sections(shares, ranked, dropped, deployment.memory_limits(services), schema, none, services)
+    return document.document_sections(shares, found, dropped, deployment.memory_limits(services), schema, none, services, modules=mods)
 
 
 @query("S11_sink_review_document", GATED + "," + RANKED.strip() + """,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plumbline.operators import claims, scan
+from plumbline.operators import claims, ranking, scan
 from plumbline.plans import bindings, catalog, grading_queries
 from plumbline.streaming import events as ev
 
@@ -98,3 +98,22 @@ def test_spans_over_the_edges_of_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     spans = ev.agent_spans(df, slice_rows=1_000)
     assert few == sorted(map(str, spans.collect())) and len(few) > 400
+
+
+def test_first_findings_are_the_listed_ones_and_shuffle_no_prose(spark, monkeypatch):
+    cols = "repo_id string, path string, line int, symbol string, ord bigint, severity string, arithmetic string, mechanism string, prediction string"
+    rows = [
+        (f"r{i % 2}", f"p{i % 7}" if i % 5 else None, i % 3 or None, "s", i % 11 or None, ("high", "low", None)[i % 3], "", f"m{i}", "x" if i % 4 else None)
+        for i in range(120)
+    ]
+    found = spark.createDataFrame(rows, cols)
+    mods = spark.createDataFrame([("r0", "p1", 0, 3), ("r0", "p2", None, 9), ("r1", "p3", 2, 0)], "repo_id string, path string, depth int, fan_in int")
+    written = []
+    cut = ranking.cut_lineage
+    monkeypatch.setattr(ranking, "cut_lineage", lambda df: written.append(plan_of(df)) or cut(df))
+    got = ranking.first_findings(found, mods, 20)
+    want = ranking.listed_and_rest(ranking.rank_findings(found, mods), ["repo_id"], ranking.finding_order(), 20)
+    told = ["repo_id", "path", "line", "symbol", "ord", "score", "position", "rest"]
+    assert sorted(map(str, got.select(told).collect())) == sorted(map(str, want.select(told).collect())) and got.count() == 40
+    before_join = written[0].split("Exchange")[1:]
+    assert not any("mechanism" in part.split("\n")[0] for part in before_join) and "BroadcastHashJoin" in plan_of(got)
