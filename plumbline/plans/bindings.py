@@ -416,7 +416,9 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
     """One small repository per run of parts: every template once, the part's name woven in."""
     rows = [(i, p, x) for i, (p, x) in enumerate(TEMPLATES)]
     shapes = F.broadcast(spark.createDataFrame(rows, "tid int, path string, text string"))
-    joined = view(spark, sf, "source_parts").join(shapes, "tid")
+    # each part is a file to parse: a few row groups of short rows would keep that work in as many tasks
+    parts = view(spark, sf, "source_parts").repartition(4 * spark.sparkContext.defaultParallelism)
+    joined = parts.join(shapes, "tid")
     path = F.when(F.col("bare") & (F.col("path") == "docker-compose.yml"), F.lit("docs/notes.md")).otherwise(F.col("path"))
     text = F.replace("text", F.lit("@N"), F.col("nm"))
     return joined.select(

@@ -117,3 +117,9 @@ def test_first_findings_are_the_listed_ones_and_shuffle_no_prose(spark, monkeypa
     assert sorted(map(str, got.select(told).collect())) == sorted(map(str, want.select(told).collect())) and got.count() == 40
     before_join = written[0].split("Exchange")[1:]
     assert not any("mechanism" in part.split("\n")[0] for part in before_join) and "BroadcastHashJoin" in plan_of(got)
+
+
+def test_files_of_one_row_group_are_parsed_in_many_tasks(spark, base):
+    found = bindings.source_files(spark, base)
+    assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert found.count() == 9  # the part of key -1 carries no template, that of no key none either
