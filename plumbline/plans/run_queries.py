@@ -14,7 +14,7 @@ from plumbline.plans import bindings as b
 from plumbline.plans.catalog import query
 from plumbline.plans.graph_queries import RANKED, coverage, mapped
 from plumbline.plans.grading_queries import GATED
-from plumbline.session import shared_dir
+from plumbline.session import cut_lineage, shared_dir
 from plumbline.sources import document, jsonl, tree
 from plumbline.streaming import events as ev
 from plumbline.streaming import live
@@ -432,7 +432,7 @@ def _(spark, sf):
 
 @b.remembered
 def sections(spark, sf) -> DataFrame:
-    mods = mapped(spark, sf)
+    mods = cut_lineage(mapped(spark, sf))  # read five times below
     cover = coverage(spark, sf)
     reports = mods.groupBy("repo_id").agg((F.count(F.lit(1)) / 1000.0).alias("usd"), F.lit("budget exhausted").alias("stopped_because"))
     lost = mods.groupBy("repo_id").agg(F.count_if(F.col("depth").isNull()).alias("unreachable"))
