@@ -17,6 +17,7 @@ from plumbline.session import cut_lineage
 
 SYSTEMIC_FILES = 3
 ENOUGH_WORDS = 5
+REPEAT_BITS = 1 << 26
 
 
 def mechanism_shape(findings: DataFrame) -> DataFrame:
@@ -77,19 +78,36 @@ def strictest_prediction(drafts: DataFrame, by: Sequence[str]) -> DataFrame:
 def reconcile(drafts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """One finding per construct and predicted metric, keeping the strongest part of each draft.
 
-    A construct named once passes through after one count and one join. Only the rest, written once,
-    is merged.
+    A construct surely named once passes through where it is read: only a hash of it is shuffled, and the hashes that
+    occur again come back as a broadcast bitmap. The rest, written once, is merged; a construct that only shares its
+    bit with another is merged with nothing.
     """
     keys = list(keys)
-    marked = drafts.withColumn("_site", _digest(*keys, "path", "symbol"))
-    several = marked.groupBy("_site").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
-    split = spread_join(marked, several, ["_site"], "left")
+    site = [*keys, "path", "symbol"]
+    again = repeated_bits(drafts, site)
+    marked = drafts.withColumn("_at", _place(site)).join(F.broadcast(again), F.expr("shiftright(_at, 6) = _word"), "left")
+    repeats = F.expr("coalesce(getbit(_bits, cast(_at & 63 AS int)) = 1, false)")
     columns = [*keys, "ord", "path", "line", "layer", "symbol", "mechanism", "severity", "remediation", "arithmetic", "prediction"]
-    alone = split.filter("_rows is null").select(*columns)
-    shared = cut_lineage(split.filter("_rows is not null").drop("_rows"))
+    alone = marked.filter(~repeats).select(*columns)
+    shared = cut_lineage(marked.filter(repeats).select(*columns, _digest(*site).alias("_site")))
     return alone.unionByName(_merge(shared, keys))
 
 
+def _place(cols: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(REPEAT_BITS).cast("bigint"))
+
+
+def repeated_bits(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(_word, _bits): a bitmap with the bit of every value of ``cols`` that more than one row has; at most a million words.
+
+    A bit that is not set belongs to values of one row each. One that is set may also belong to such a value.
+    """
+    twice = df.groupBy(F.xxhash64(*cols).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    placed = twice.select(F.pmod("_hash", F.lit(REPEAT_BITS).cast("bigint")).alias("_at"))
+    bit = F.expr("shiftleft(1L, cast(_at & 63 AS int))")
+    return cut_lineage(placed.groupBy(F.expr("shiftright(_at, 6)").alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+
+
 def _digest(*cols: str | Column) -> Column:
     """One short key for a list of columns; 128 bits, and sorts on its first bytes."""
     named = [F.col(c) if isinstance(c, str) else c for c in cols]

@@ -123,3 +123,25 @@ def test_files_of_one_row_group_are_parsed_in_many_tasks(spark, base):
     found = bindings.source_files(spark, base)
     assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert found.count() == 9  # the part of key -1 carries no template, that of no key none either
+
+
+def test_only_constructs_named_again_are_written_for_the_merge(spark, monkeypatch):
+    written = []
+
+    def watched(df):
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(claims, "cut_lineage", watched)
+    prediction = ("m", "at_most", 5.0, None, "ms", "at peak load")
+    sites = [*((f"p{i}", f"s{i}") for i in range(60)), ("p0", "s0"), (None, "s0"), (None, "s0"), ("x", None)]
+    rows = [("c", "a", 1, i, p, i, f"l{i}", s, f"word {i}", "low", "", "", prediction if i % 2 else None) for i, (p, s) in enumerate(sites)]
+    drafts = spark.createDataFrame(
+        rows, "case_id string, arm string, seed int, ord bigint, path string, line int, layer string, symbol string, mechanism string, "
+        "severity string, remediation string, arithmetic string, prediction struct<metric:string,comparator:string,value:double,upper:double,unit:string,condition:string>"
+    )
+    few = sorted(map(str, claims.reconcile(drafts).collect()))
+    assert written[1] == 4 and len(few) == 62
+    written.clear()
+    monkeypatch.setattr(claims, "REPEAT_BITS", 2)  # bits shared by constructs that have nothing in common
+    assert sorted(map(str, claims.reconcile(drafts).collect())) == few and written[1] > 30
