@@ -1,11 +1,13 @@
 """Plans that must not grow faster than their tables, and results where values are all alike."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from plumbline.functions import text as t
 from plumbline.operators import claims, ranking, scan
 from plumbline.plans import bindings, catalog, grading_queries
 from plumbline.streaming import events as ev
@@ -145,3 +147,31 @@ def test_only_constructs_named_again_are_written_for_the_merge(spark, monkeypatc
     written.clear()
     monkeypatch.setattr(claims, "REPEAT_BITS", 2)  # bits shared by constructs that have nothing in common
     assert sorted(map(str, claims.reconcile(drafts).collect())) == few and written[1] > 30
+
+
+def test_drafts_are_normalised_by_code_that_the_jvm_compiles(spark):
+    """HotSpot interprets methods beyond 8,000 bytes of bytecode for ever."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = entry.queries()["F08_normalise_drafts"](spark, "/root/testdata/sf0.001")
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        said = frame._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert len(sizes) > 2 and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("text", ["", "a" * 40, "a" * 41, "é" * 21, "é" * 40, "é" * 41, "a" * 39 + "é\U0001f600", None])
+def test_long_text_is_cut_by_characters(spark, text):
+    row = spark.createDataFrame([(text,)], "x string").select(t.fits(F.col("x"), 40).alias("a"), t.long_fits(F.col("x"), 40).alias("b")).first()
+    assert row.b == row.a and (text is None or row.b == (text if len(text) <= 40 else text[:28] + t.CUT))
+
+
+def test_sentences_are_spelled_alike_in_both_views(spark):
+    parts = [(k, name, size) for k in (-1, *range(24)) for name, size in (("a b", 3), ("@N c", None), (None, 60))]
+    rows = spark.createDataFrame(parts, "l_partkey bigint, p_name string, p_size int").selectExpr("*", "l_partkey AS p_partkey")
+    assert rows.filter(f"NOT ({bindings.SENTENCE} <=> {bindings.SPARK_SENTENCE})").isEmpty()
+    kinds = spark.createDataFrame([(k,) for k in ("ECONOMY", "PROMO", "STANDARD", "LARGE", "MEDIUM", "SMALL", "", None)], "p_type string")
+    assert kinds.filter(f"NOT ({bindings.EXT.replace('{p}', '')} <=> {bindings.SPARK_EXT})").isEmpty()
+    assert bindings.SPARK_SENTENCE in bindings.SPARK_VIEWS["findings_flat"] and bindings.SPARK_EXT in bindings.SPARK_VIEWS["findings_flat"]
