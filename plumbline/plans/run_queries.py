@@ -30,6 +30,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/plumbline-{what}-{uuid.uuid4().hex}"
 
 
+def one_file_each(rows: DataFrame, folder: str, by: str, kind: str) -> None:
+    """The rows as files of ``kind`` (text, json), those of each value of ``by`` in a folder of their own."""
+    local = tree.local_folder(folder)
+    if local is None:  # the tasks rename their files themselves
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).format(kind).save(folder)
+    elif kind == "json":
+        whole = F.to_json(F.struct(*[c for c in rows.columns if c != by]))
+        tree.write_files(rows.select(by, whole.alias("value")), local, by, "json")
+    else:
+        tree.write_files(rows, local, by, "txt")
+
+
 @b.remembered
 def typed(spark, sf) -> DataFrame:
     return ev.typed_events(b.events(spark, sf))[0]
@@ -317,12 +329,14 @@ def _(spark, sf):
     c = b.view(spark, sf, "turns").groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     many = lambda col: F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: col)
     shape = F.col("conv_id") % 3
-    c.select(
+    recordings = c.select(
         F.concat(F.lit("k"), F.col("conv_id").cast("string")).alias("key"),
         F.when(shape == 0, many(F.struct(F.lit("a.py").alias("path"), F.lit(1).alias("line")))).alias("findings"),
         F.when(shape == 1, many(F.lit("data"))).alias("specialists"),
         F.when(shape == 2, many(F.struct(F.lit("m").alias("mechanism"), F.array(F.lit(1)).alias("findings")))).alias("observations"),
-    ).write.partitionBy("key").json(folder)
+    )
+    # so few bytes of counts would be put together into one task, which then wrote every file
+    one_file_each(recordings.repartition(2 * spark.sparkContext.defaultParallelism, "key"), folder, "key", "json")
     rows = jsonl.scan_recordings(spark, folder, key_from="folder")
     items = F.coalesce(F.when(F.col("kind") == "findings", F.size("findings")), F.when(F.col("kind") == "routing", F.size("specialists")), F.size("observations"))
     return rows.select("key", "kind", items.alias("items"))
@@ -332,7 +346,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Every page written as a file of its own, and the tree read back."""
     folder = scratch(spark, "tree")
-    b.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
+    one_file_each(b.table(spark, sf, "pages").select("page_id", F.col("html").alias("value")), folder, "page_id", "text")
     found = tree.scan_source_tree(spark, folder).filter("path like '%.txt'")
     return found.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).alias("page"), "size", F.md5("text").alias("text"))
 

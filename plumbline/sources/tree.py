@@ -5,7 +5,7 @@ from __future__ import annotations
 import errno
 import os
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote, unquote, urlparse
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +23,8 @@ LISTED = "path string, size long, is_symlink boolean"
 class SourceTree(DataSource):
     """Names, sizes and links under a folder that all executors see; no file is opened and no link is followed.
 
-    Options: ``path``, ``shares`` (tasks) and ``depth``. Every task lists the folders of the first ``depth`` levels and takes
-    its share of their entries by a checksum of the name; what lies deeper belongs whole to the task that its folder fell to.
+    Options: ``path``, ``shares`` (tasks) and ``depth``. Every task lists the folders of the first ``depth`` levels and takes its share of
+    their entries by a checksum of the name; what lies deeper belongs whole to the task that its folder fell to.
     """
 
     @classmethod
@@ -99,6 +99,46 @@ def local_folder(root: str) -> str | None:
     return unquote(parts.path) if parts.scheme == "file" else None
 
 
+def write_files(rows: DataFrame, folder: str, by: str, ending: str) -> None:
+    """``value`` of every row as a line of the file ``folder/by=…/part-<task>.<ending>``, one file per task and value of ``by``.
+
+    What ``write.partitionBy(by).text(folder)`` leaves, in a folder that all executors see, but written by the tasks alone:
+    Spark's writer starts a process for the rights of each local file and its driver renames them one by one. A file takes its
+    name when it is whole, and a task that runs again writes the same names.
+    """
+    os.makedirs(folder)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name, unready = f"part-{task.partitionId():05d}.{ending}", f".part-{task.taskAttemptId()}"
+        key, lines, count = None, [], 0
+
+        def put() -> None:
+            place = os.path.join(folder, f"{by}={key}")
+            os.makedirs(place, exist_ok=True)
+            with open(os.path.join(place, unready), "wb") as file:
+                file.writelines(lines)
+            os.replace(os.path.join(place, unready), os.path.join(place, name))
+
+        for batch in batches:
+            for value, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value = quote(value, safe=" !$&()+,;<>@|}~") if value else "__HIVE_DEFAULT_PARTITION__"
+                if lines and value != key:
+                    put()
+                    lines, count = [], count + 1
+                key = value
+                lines.append((line or "").encode() + b"\n")
+        if lines:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array([count + bool(lines)], pa.int64())], names=["files"])
+
+    keyed = rows.select(F.col(by).cast("string").alias("_by"), "value").sortWithinPartitions("_by")
+    keyed.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def list_tree(spark: SparkSession, root: str, shares: int | None = None) -> DataFrame:
     """(path, size, is_symlink) of every file under ``root``; nothing is read of any of them.
 

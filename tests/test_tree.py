@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from plumbline import dims
 from plumbline.operators import gates
+from plumbline.plans import run_queries
 from plumbline.sources import tree
 
 
@@ -75,3 +77,25 @@ def test_batches_are_cut_by_bytes_and_the_store_form_agrees(spark, folder, monke
     stored = tree.scan_source_tree(spark, str(folder), "r")
     got = {r.path.rsplit("/", 1)[-1]: r.text for r in stored.where(F.col("path").like("%.py")).collect()}
     assert got == {k.rsplit("/", 1)[-1]: v for k, v in small.items() if k not in ("config.py", "empty.py", "src/.env")}
+
+
+def test_files_are_written_by_many_tasks_as_the_partitioned_writer_lays_them_out(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 40, f"t{i}é") for i in range(120)] + [(None, "n"), (7, None)], "k int, value string").repartition(5)
+    tree.write_files(rows, str(tmp_path / "own"), "k", "txt")
+    rows.write.partitionBy("k").text(str(tmp_path / "spark"))
+
+    def laid(root):
+        return sorted((p.parent.name, sorted(p.read_text().splitlines())) for p in root.rglob("*.txt"))
+
+    assert laid(tmp_path / "own") == laid(tmp_path / "spark") and len(laid(tmp_path / "own")) > 41
+    assert not [p for p in (tmp_path / "own").rglob("*") if p.is_file() and p.suffix != ".txt"]
+
+
+def test_recordings_are_written_by_more_than_one_task(spark, monkeypatch):
+    dealt = []
+    write = run_queries.one_file_each
+    monkeypatch.setattr(run_queries, "one_file_each", lambda rows, *a: (dealt.append(rows.rdd.getNumPartitions()), write(rows, *a))[1])
+    found = entry.queries()["S06_scan_recordings"](spark, "/root/testdata/sf0.001")
+    conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    assert found.count() == conversations.select("conv_id").distinct().count() and dealt[0] > 1
+    assert found.groupBy().sum("items").first()[0] == conversations.count()
