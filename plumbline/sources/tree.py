@@ -18,13 +18,15 @@ from plumbline.functions import text as t
 from plumbline.operators.gates import refuse_files
 
 LISTED = "path string, size long, is_symlink boolean"
+ENOUGH_FOLDERS = 16
 
 
 class SourceTree(DataSource):
     """Names, sizes and links under a folder that all executors see; no file is opened and no link is followed.
 
-    Options: ``path``, ``shares`` (tasks) and ``depth``. Every task lists the folders of the first ``depth`` levels and takes its share of
-    their entries by a checksum of the name; what lies deeper belongs whole to the task that its folder fell to.
+    Options: ``path``, ``shares`` (tasks) and ``depth``. Every task lists the folders of the first levels and takes its share of
+    their entries by a checksum of the name; what lies deeper belongs whole to the task that its folder fell to. There are
+    ``depth`` such levels, or fewer where one has folders enough for all tasks.
     """
 
     @classmethod
@@ -43,7 +45,10 @@ class TreeReader(DataSourceReader):
         self.root, self.shares, self.depth = options["path"], int(options.get("shares", 8)), int(options.get("depth", 2))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(share) for share in range(self.shares)]
+        depth, level = 1, _folders_in(self.root, [""])
+        while depth < self.depth and len(level) < ENOUGH_FOLDERS * self.shares:
+            depth, level = depth + 1, _folders_in(self.root, level) if depth + 1 < self.depth else []
+        return [InputPartition((share, depth)) for share in range(self.shares)]
 
     def read(self, partition: InputPartition) -> Iterator:
         import pyarrow as pa
@@ -56,7 +61,7 @@ class TreeReader(DataSourceReader):
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(made, names=["path", "size", "is_symlink"])
 
-        for row in self._walk(partition.value):
+        for row in self._walk(*partition.value):
             held.append(row)
             if len(held) == 10_000:
                 yield batch()
@@ -64,7 +69,7 @@ class TreeReader(DataSourceReader):
         if held:
             yield batch()
 
-    def _walk(self, share: int) -> Iterator[tuple]:
+    def _walk(self, share: int, levels: int) -> Iterator[tuple]:
         """Files of one share. A link counts if it leads to a file, as a link; a link to a folder is not gone into."""
         waiting = [("", 0, False)]
         while waiting:
@@ -74,7 +79,7 @@ class TreeReader(DataSourceReader):
                     path = f"{folder}/{entry.name}" if folder else entry.name
                     mine = owned or crc32(os.fsencode(path)) % self.shares == share
                     if entry.is_dir(follow_symlinks=False):
-                        if depth + 1 < self.depth:
+                        if depth + 1 < levels:
                             waiting.append((path, depth + 1, owned))
                         elif mine:
                             waiting.append((path, depth + 1, True))
@@ -83,6 +88,14 @@ class TreeReader(DataSourceReader):
                         yield os.fsencode(path).decode(errors="replace"), size, entry.is_symlink()
 
 
+def _folders_in(root: str, folders: list[str]) -> list[str]:
+    found = []
+    for folder in folders:
+        with os.scandir(os.path.join(root, folder)) as entries:
+            found += [os.path.join(folder, e.name) for e in entries if e.is_dir(follow_symlinks=False)]
+    return found
+
+
 def _leads_to_file(entry: os.DirEntry) -> bool:
     """False too for a link that leads nowhere or round in a circle."""
     try:

@@ -99,3 +99,17 @@ def test_recordings_are_written_by_more_than_one_task(spark, monkeypatch):
     conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     assert found.count() == conversations.select("conv_id").distinct().count() and dealt[0] > 1
     assert found.groupBy().sum("items").first()[0] == conversations.count()
+
+
+def test_folders_enough_for_all_tasks_are_each_listed_by_one(tmp_path, monkeypatch):
+    for i in range(100):
+        (tmp_path / f"d{i}" / "in").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "in" / "x.py").write_text("x")
+    listed = []
+    scan = os.scandir
+    monkeypatch.setattr(tree.os, "scandir", lambda path: (listed.append(path), scan(path))[1])
+    reader = tree.TreeReader({"path": str(tmp_path), "shares": "4"})
+    shares = reader.partitions()
+    found = [path for share in shares for batch in reader.read(share) for path in batch.column("path").to_pylist()]
+    assert sorted(found) == sorted(f"d{i}/in/x.py" for i in range(100))
+    assert len(listed) <= 1 + 4 + 200  # the driver's and each task's look at the root, then every folder once
