@@ -86,6 +86,12 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, dims.SECRET_SHAPES, "REDACTED")
 
 
+def plain_words(sentence: Column) -> Column:
+    """The text of ``mechanism_shape``, read in one walk over the sentence."""
+    found = F.regexp_extract_all(F.lower(sentence), F.lit(dims.SPECIFICS_OR_WORDS), 1)
+    return F.array_join(F.array_remove(found, ""), " ")
+
+
 def mechanism_shape(sentence: Column) -> Column:
     """What a sentence says once quoted text, names, paths and numbers are taken out."""
     plain = F.regexp_replace(F.lower(sentence), dims.SPECIFICS, " ")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import shared_dir
+from plumbline.session import shared_dir, written  # noqa: F401  (the text operators take it from here)
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,13 +38,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: later readers survive a lost executor and start no replay."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """The rows as a table in the shared folder, bucketed by ``key``, so that groups by it are read without a shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}".replace("-", "_")

@@ -13,11 +13,13 @@ from plumbline.functions import text as t
 from plumbline.operators.gates import severity_rank, with_rejection
 from plumbline.operators.scan import spread_join
 from plumbline.schemas import RUN
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, written
 
 SYSTEMIC_FILES = 3
 ENOUGH_WORDS = 5
 REPEAT_BITS = 1 << 26
+MOST_SENT = 100_000  # rows of a table that a broadcast hint is given
+MOST_TABLES = 1_000  # tables of one repository that index a column of one name, to be searched row by row
 
 
 def mechanism_shape(findings: DataFrame) -> DataFrame:
@@ -84,12 +86,10 @@ def reconcile(drafts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """
     keys = list(keys)
     site = [*keys, "path", "symbol"]
-    again = repeated_bits(drafts, site)
-    marked = drafts.withColumn("_at", _place(site)).join(F.broadcast(again), F.expr("shiftright(_at, 6) = _word"), "left")
-    repeats = F.expr("coalesce(getbit(_bits, cast(_at & 63 AS int)) = 1, false)")
+    marked = _with_bit(drafts, repeated_bits(drafts, site), site, "_repeats")
     columns = [*keys, "ord", "path", "line", "layer", "symbol", "mechanism", "severity", "remediation", "arithmetic", "prediction"]
-    alone = marked.filter(~repeats).select(*columns)
-    shared = cut_lineage(marked.filter(repeats).select(*columns, _digest(*site).alias("_site")))
+    alone = marked.filter("not _repeats").select(*columns)
+    shared = cut_lineage(marked.filter("_repeats").select(*columns, _digest(*site).alias("_site")))
     return alone.unionByName(_merge(shared, keys))
 
 
@@ -97,12 +97,20 @@ def _place(cols: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(REPEAT_BITS).cast("bigint"))
 
 
-def repeated_bits(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(_word, _bits): a bitmap with the bit of every value of ``cols`` that more than one row has; at most a million words.
+def _with_bit(df: DataFrame, bits: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
+    """``df`` plus whether the bitmap of ``repeated_bits`` has the bit of its values of ``cols``."""
+    marked = df.withColumn("_at", _place(cols)).join(F.broadcast(bits), F.expr("shiftright(_at, 6) = _word"), "left")
+    return marked.withColumn(out, F.expr("coalesce(getbit(_bits, cast(_at & 63 AS int)) = 1, false)")).drop("_at", "_word", "_bits")
 
-    A bit that is not set belongs to values of one row each. One that is set may also belong to such a value.
+
+def repeated_bits(df: DataFrame, cols: Sequence[str], least: int = 2) -> DataFrame:
+    """(_word, _bits): a bitmap with the bit of every value of ``cols`` that ``least`` or more rows have; at most a million words.
+
+    A bit that is not set belongs to values of fewer rows each. One that is set may also belong to such a value, so 40 bits
+    of the hash do, and less is shuffled.
     """
-    twice = df.groupBy(F.xxhash64(*cols).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    hashed = F.xxhash64(*cols).bitwiseAND(F.lit((1 << 40) - 1)).alias("_hash")
+    twice = df.groupBy(hashed).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least)
     placed = twice.select(F.pmod("_hash", F.lit(REPEAT_BITS).cast("bigint")).alias("_at"))
     bit = F.expr("shiftleft(1L, cast(_at & 63 AS int))")
     return cut_lineage(placed.groupBy(F.expr("shiftright(_at, 6)").alias("_word")).agg(F.bit_or(bit).alias("_bits")))
@@ -110,8 +118,12 @@ def repeated_bits(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _digest(*cols: str | Column) -> Column:
     """One short key for a list of columns; 128 bits, and sorts on its first bytes."""
+    return F.md5(_text_of(*cols))
+
+
+def _text_of(*cols: str | Column) -> Column:
     named = [F.col(c) if isinstance(c, str) else c for c in cols]
-    return F.md5(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("\u001e")) for c in named]))
+    return F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("\u001e")) for c in named])
 
 
 def _merge(drafts: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,55 +212,94 @@ def _head(
 # -- collapsing repeats -------------------------------------------------------------------------
 
 
-def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """``findings`` with ``side`` (kept or dropped) and ``reason``, survivors naming where else they were seen.
+SENTENCE_MARKS = ["_same", "_also"]
 
-    One sentence about three or more files becomes one finding: the worst, earliest one.
+
+def mark_sentences(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """``findings`` plus 128 bits for report, layer and what the sentence says, the first half null for too little to compare.
+
+    They are two whole numbers, as these sort and group faster than any text. The second is never null, so that no join filters
+    on it: what a filter tests is worked out there once more.
     """
-    keys = list(keys)
-    group = ["_same"]
-    words = F.regexp_extract_all(
-        F.regexp_replace(F.lower("mechanism"), dims.SPECIFICS, " "), F.lit("([a-z]+)"), 1
-    )
     # bound by a lambda, the words are taken out of a sentence once; named as a column, each use would do it again
-    same = F.transform(
-        F.array(words), lambda w: F.when(F.size(w) >= ENOUGH_WORDS, _digest(*keys, "layer", F.array_join(w, " ")))
+    enough = F.transform(
+        F.array(t.plain_words(F.col("mechanism"))), lambda said: F.when(F.substring_index(said, " ", ENOUGH_WORDS - 1) != said, said)
     )
-    shaped = findings.withColumn("_same", F.get(same, F.lit(0)))
-    # earliest row of each severity: whole numbers only, so the first reduction is a hash aggregate
+    digest = F.md5(F.concat(_text_of(*keys, "layer"), F.lit("\u001f"), F.get(enough, F.lit(0))))
+    first, second = (F.conv(F.substring("_digest", at, 16), 16, -10).cast("bigint") for at in (1, 17))
+    marks = [first.alias("_same"), F.coalesce(second, F.lit(0).cast("bigint")).alias("_also")]
+    return findings.withColumn("_digest", digest).select(*findings.columns, *marks)
+
+
+def _orders(col: Column) -> list[Column]:
+    """The order of a row under its severity, a column each: whole numbers only, so their minimum is a hash aggregate."""
     level = severity_rank(F.col("severity"))
-    per_file = (
-        shaped.groupBy("_same", "path")  # null for too little to compare; it joins nothing below
-        .agg(*[F.min(F.when(level == n, F.col("ord"))).alias(f"_o{n}") for n in (2, 1, 0)])
-        .select(
-            "_same",
-            "path",
-            F.struct(
-                F.when(F.col("_o2").isNotNull(), -2).when(F.col("_o1").isNotNull(), -1).otherwise(0).alias("s"),
-                F.col("path").alias("p"),
-                F.coalesce("_o2", "_o1", "_o0").alias("o"),
-            ).alias("_best"),
-        )
+    return [F.when(level == n, col).alias(f"_o{n}") for n in (2, 1, 0)]
+
+
+def _best_of_files(orders: DataFrame) -> DataFrame:
+    """(_same, _also, path, _best) of the earliest orders of each sentence in each file."""
+    return orders.select(
+        *SENTENCE_MARKS,
+        "path",
+        F.struct(
+            F.when(F.col("_o2").isNotNull(), -2).when(F.col("_o1").isNotNull(), -1).otherwise(0).alias("s"),
+            F.col("path").alias("p"),
+            F.coalesce("_o2", "_o1", "_o0").alias("o"),
+        ).alias("_best"),
     )
-    # Seven earliest paths are enough to name five others and to know there are more. Both branches
-    # read the same columns of per_file, so its shuffle is written once and read twice.
-    order = Window.partitionBy(*group).orderBy("path")
-    first = (
+
+
+def _first_paths(per_file: DataFrame) -> DataFrame:
+    """Seven earliest paths are enough to name five others and to know there are more."""
+    order = Window.partitionBy(*SENTENCE_MARKS).orderBy("path")
+    return (
         per_file.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= 7)
-        .groupBy(*group)
+        .groupBy(*SENTENCE_MARKS)
         .agg(F.array_sort(F.collect_list(F.struct("path", "_best"))).alias("_paths"))
     )
-    systemic = (
-        per_file.groupBy(*group)
+
+
+def _systemic(per_file: DataFrame) -> DataFrame:
+    return (
+        per_file.groupBy(*SENTENCE_MARKS)
         .agg(F.count(F.lit(1)).alias("_files"), F.min("_best").alias("_best"))
         .filter(F.col("_files") >= SYSTEMIC_FILES)
-        .join(first, group)
     )
-    joined = spread_join(shaped, systemic, group, "left", by=["ord", "path"])
+
+
+def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """``findings`` with ``side`` (kept or dropped) and ``reason``, survivors naming where else they were seen.
+
+    One sentence about three or more files becomes one finding: the worst, earliest one.
+    """
+    shaped = mark_sentences(findings, keys)
+    # null for too little to compare joins nothing; both branches read the same columns of per_file, so its shuffle is written
+    # once and read twice
+    per_file = _best_of_files(_earliest(shaped))
+    systemic = _systemic(per_file).join(_first_paths(per_file), SENTENCE_MARKS)
+    return _told(spread_join(shaped, systemic, SENTENCE_MARKS, "left", by=["ord", "path"]), findings.columns)
+
+
+def _told(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns``, ``side`` and ``reason`` of findings beside what is known of their sentence, if it is systemic."""
     merged = F.col("_files").isNotNull()
     survivor = merged & (F.col("ord") == F.col("_best.o"))
     files = F.col("_files").cast("string")
+    reason = F.concat(
+        F.lit("collapsed into the same finding at "),
+        F.col("_best.p"),
+        F.lit(": the same mechanism in "),
+        files,
+        F.lit(" files is one property of the service"),
+    )
+    dropped = merged & ~survivor
+    sided = joined.withColumn("side", F.when(dropped, F.lit("dropped")).otherwise(F.lit("kept"))).withColumn(
+        "reason", F.when(dropped, reason)
+    )
+    if "mechanism" not in columns:
+        return sided.select(*columns, "side", "reason")
     others = F.filter(F.transform("_paths", lambda x: x["path"]), lambda p: p != F.col("_best.p"))
     shown = F.concat(
         F.array_join(F.slice(others, 1, 5), ", "),
@@ -261,27 +312,47 @@ def mark_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
         F.lit(" files, so this is a property of the service rather than of one handler. Also at: "),
         shown,
     )
-    reason = F.concat(
-        F.lit("collapsed into the same finding at "),
-        F.col("_best.p"),
-        F.lit(": the same mechanism in "),
-        files,
-        F.lit(" files is one property of the service"),
-    )
-    dropped = merged & ~survivor
-    return (
-        joined.withColumn("side", F.when(dropped, F.lit("dropped")).otherwise(F.lit("kept")))
-        .withColumn("reason", F.when(dropped, reason))
-        .withColumn("mechanism", F.when(survivor, seen).otherwise(F.col("mechanism")))
-        .select(*findings.columns, "side", "reason")
-    )
+    return sided.withColumn("mechanism", F.when(survivor, seen).otherwise(F.col("mechanism"))).select(*columns, "side", "reason")
 
 
 def collapse_repeats(findings: DataFrame, keys: Sequence[str] = RUN) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of ``mark_repeats``."""
-    marked = mark_repeats(findings, keys)
-    kept = marked.filter("side = 'kept'").drop("side", "reason")
-    return kept, marked.filter("side = 'dropped'").select(*keys, "path", "symbol", "reason")
+    """(kept, dropped) of ``mark_repeats``, where both are read and the rows are many.
+
+    Rows that ``mark_sentences`` has not marked are marked and written once. Bitmaps then tell which sentences have rows
+    enough and which of those come again in one file: the others are counted where they are read, and no row is shuffled
+    but to sum up a sentence. Findings without ``mechanism`` are kept without a word on where else they were seen.
+    """
+    shaped = findings if "_same" in findings.columns else written(mark_sentences(findings, keys), "sentences")
+    columns = [c for c in shaped.columns if c not in SENTENCE_MARKS]
+    enough = repeated_bits(shaped.filter("_same is not null"), SENTENCE_MARKS, SYSTEMIC_FILES)
+    parted = _with_bit(shaped, enough, SENTENCE_MARKS, "_enough").withColumn("_enough", F.expr("_enough and _same is not null"))
+    several = parted.filter("_enough").drop("_enough")
+    per_file = _best_of_files(_file_orders(several))
+    systemic = written(_systemic(per_file), "systemic")
+    few = systemic.count() <= MOST_SENT
+
+    def beside(known: DataFrame, how: str) -> DataFrame:
+        if few:
+            return several.join(F.broadcast(known), SENTENCE_MARKS, how)
+        return spread_join(several, known, SENTENCE_MARKS, how, by=["ord", "path"])
+
+    dropped = _told(beside(systemic, "inner"), [*keys, "path", "symbol"]).filter("side = 'dropped'").drop("side")
+    known = systemic.join(_first_paths(per_file), SENTENCE_MARKS) if "mechanism" in columns else systemic
+    kept = _told(beside(known, "left"), columns).filter("side = 'kept'").drop("side", "reason")
+    return parted.filter("not _enough").select(*columns).unionByName(kept), dropped
+
+
+def _file_orders(told: DataFrame) -> DataFrame:
+    """The earliest orders of each sentence in each file; a row that is surely alone there is one as it stands."""
+    site = [*SENTENCE_MARKS, "path"]
+    parted = _with_bit(told, repeated_bits(told, site), site, "_again")
+    alone = parted.filter("not _again").select(*site, *_orders(F.col("ord")))
+    return alone.unionByName(_earliest(parted.filter("_again")))
+
+
+def _earliest(told: DataFrame) -> DataFrame:
+    site = [*SENTENCE_MARKS, "path"]
+    return told.select(*site, *_orders(F.col("ord"))).groupBy(*site).agg(*[F.min(f"_o{n}").alias(f"_o{n}") for n in (2, 1, 0)])
 
 
 # -- claims the repository answers -----------------------------------------------------------------
@@ -298,44 +369,81 @@ def indexed_columns(operations: DataFrame) -> DataFrame:
     )
 
 
-def withdraw_index_claims(findings: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, withdrawn): claims of a missing index on a column the migrations index.
+INDEX_MARKS = ["_table", "_column"]
 
-    Rows are identified by (repo_id, ord). Only claiming sentences are exploded into words.
-    """
+
+def _claim() -> Column:
+    """(column, words) of a sentence that claims a missing index on a column: null for any other."""
     # an offset is not at hand in SQL regex, so the clause before the first claim is matched directly
     before = F.regexp_extract("mechanism", r"(?is)^(.*?)" + dims.NO_INDEX_CLAIM.replace("(?i)", ""), 1)
     words = F.transform(
         F.regexp_extract_all(before, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda w: F.lower(w)
     )
     real = F.filter(words, lambda w: ~w.isin(*dims.NOT_A_COLUMN))
-    claims = (
-        findings.filter(F.col("mechanism").rlike(dims.NO_INDEX_CLAIM))
-        .select("repo_id", "ord", "mechanism", F.try_element_at(real, F.lit(-1)).alias("column"))
-        .filter(F.col("column").isNotNull())
-    )
-    named = claims.select(
-        "repo_id",
-        "ord",
-        "column",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.regexp_extract_all("mechanism", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1),
-                    lambda w: F.lower(w),
-                )
-            )
-        ).alias("table"),
-    )
-    settled = (
-        spread_join(named, indexed, ["repo_id", "table", "column"])
-        .groupBy("repo_id", "ord")
-        .agg(F.min("table").alias("_table"), F.first("column").alias("_column"))
-    )
-    marked = findings.join(settled, ["repo_id", "ord"], "left")
-    kept = marked.filter(F.col("_table").isNull()).select(*findings.columns)
+    named = F.transform(F.regexp_extract_all("mechanism", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda w: F.lower(w))
+    said = F.struct(F.try_element_at(real, F.lit(-1)).alias("column"), F.array_distinct(named).alias("words"))
+    # few sentences name an index at all, and only those are worth a pattern
+    return F.when(F.contains(F.lower("mechanism"), F.lit("index")) & F.col("mechanism").rlike(dims.NO_INDEX_CLAIM), said)
+
+
+def _settled(findings: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(repo_id, ord, _table, _column) of the claims that an index answers. Only claiming sentences are exploded into words."""
+    claims = findings.select("repo_id", "ord", _claim().alias("_claim")).filter("_claim.column is not null")
+    named = claims.select("repo_id", "ord", "_claim.column", F.explode("_claim.words").alias("table"))
+    met = spread_join(named, indexed, ["repo_id", "table", "column"])
+    return _first_answer(met.withColumnsRenamed({"table": "_table", "column": "_column"}))
+
+
+def _first_answer(answers: DataFrame) -> DataFrame:
+    first = answers.groupBy("repo_id", "ord").agg(F.min(F.struct(*INDEX_MARKS)).alias("_first"))
+    return first.select("repo_id", "ord", *[f"_first.{c}" for c in INDEX_MARKS])
+
+
+def mark_index_claims(findings: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``findings`` plus (_table, _column) of the index that answers a row's own claim; a null ``_table`` where none does.
+
+    Up to MOST_SENT indexed columns are sent to where the sentences are read, as one list of tables for each name of a column.
+    """
+    indexed = written(indexed, "indexed")
+    lists = indexed.groupBy("repo_id", "column").agg(F.count(F.lit(1)).alias("n"))
+    total, longest = lists.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total > MOST_SENT or longest > MOST_TABLES:
+        return findings.join(_settled(findings, indexed), ["repo_id", "ord"], "left").select(*findings.columns, *INDEX_MARKS)
+    known = indexed.groupBy(F.col("repo_id").alias("_repo"), F.col("column").alias("_of")).agg(F.collect_set("table").alias("_tables"))
+    claiming = findings.withColumn("_claim", _claim())
+    answered = claiming.join(F.broadcast(known), (claiming["repo_id"] == known["_repo"]) & (F.col("_claim.column") == known["_of"]), "left")
+    table = F.when(F.col("ord").isNotNull(), F.array_min(F.array_intersect("_claim.words", "_tables")))
+    return answered.select(*findings.columns, table.alias("_table"), F.col("_claim.column").alias("_column"))
+
+
+def _settled_together(marked: DataFrame) -> DataFrame:
+    """Rows of ``mark_index_claims`` where those of one (repo_id, ord) share the claim that was answered.
+
+    Only rows that may share their key with an answered claim are looked through for keys that come again, and only those meet
+    others of their key; a row surely alone keeps its own mark.
+    """
+    key = ["repo_id", "ord"]
+    answered = repeated_bits(marked.filter("_table is not null"), key, least=1)
+    near = _with_bit(marked, answered, key, "_near").filter("_near")
+    parted = _with_bit(marked, repeated_bits(near, key), key, "_again")
+    again = written(parted.filter("_again").drop("_again"), "claims")
+    met = again.drop(*INDEX_MARKS).join(_first_answer(again.filter("_table is not null")), key, "left")
+    return parted.filter("not _again").drop("_again").unionByName(met)
+
+
+def withdraw_index_claims(findings: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, withdrawn): claims of a missing index on a column the migrations index.
+
+    Rows are identified by (repo_id, ord). Rows of ``mark_index_claims`` are not read for their sentences again.
+    """
+    columns = [c for c in findings.columns if c not in INDEX_MARKS]
+    if set(INDEX_MARKS) <= set(findings.columns):
+        marked = _settled_together(findings)
+    else:
+        marked = findings.join(_settled(findings, indexed), ["repo_id", "ord"], "left")
+    kept = marked.filter(F.col("_table").isNull()).select(*columns)
     withdrawn = marked.filter(F.col("_table").isNotNull()).select(
-        *findings.columns,
+        *[c for c in columns if c not in SENTENCE_MARKS],
         F.concat(
             F.col("_table"),
             F.lit("."),

@@ -13,7 +13,7 @@ from plumbline.operators import claims, gates, grading, ranking, stats
 from plumbline.plans import bindings as b
 from plumbline.plans.catalog import query
 from plumbline.schemas import RUN
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, written
 
 FLAT = ("findings_flat",)
 PRED = ["prediction.metric", "prediction.comparator", "prediction.value", "prediction.upper", "prediction.unit"]
@@ -587,9 +587,17 @@ led AS (SELECT case_id, arm, seed, path, symbol, 'rejected' AS stage, reject_rea
 
 
 def judged_findings(spark, sf) -> dict[str, DataFrame]:
-    """What survives the gate, the migrations and the collapse, and what each of them takes out."""
-    kept, rejected = gates.normalise_drafts(b.drafts(spark, sf), keys=[*RUN, "repo_id"])
-    kept, withdrawn = claims.withdraw_index_claims(kept, claims.indexed_columns(b.operations(spark, sf)))
+    """What survives the gate, the migrations and the collapse, and what each of them takes out.
+
+    What the three read of a draft alone is marked in one pass and written without the prose; each then parts the marked rows.
+    """
+    keys = [*RUN, "repo_id"]
+    indexed = claims.indexed_columns(b.operations(spark, sf))
+    marked = claims.mark_index_claims(gates.mark_dropped(b.drafts(spark, sf), keys=keys), indexed)
+    marks = [*gates.DROPPED_MARKS, *claims.INDEX_MARKS, *claims.SENTENCE_MARKS]
+    once = written(claims.mark_sentences(marked).select(*keys, "ord", "path", "symbol", "severity", *marks), "judged")
+    kept, rejected = gates.normalise_drafts(once, keys=keys)
+    kept, withdrawn = claims.withdraw_index_claims(kept, indexed)
     kept, collapsed = claims.collapse_repeats(kept)
     return {"kept": kept, "rejected": rejected, "withdrawn": withdrawn, "collapsed": collapsed}
 

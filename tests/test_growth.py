@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from plumbline import dims
 from plumbline.functions import text as t
-from plumbline.operators import claims, ranking, scan
+from plumbline.operators import claims, gates, ranking, scan
 from plumbline.plans import bindings, catalog, grading_queries
 from plumbline.streaming import events as ev
 
@@ -175,3 +176,66 @@ def test_sentences_are_spelled_alike_in_both_views(spark):
     kinds = spark.createDataFrame([(k,) for k in ("ECONOMY", "PROMO", "STANDARD", "LARGE", "MEDIUM", "SMALL", "", None)], "p_type string")
     assert kinds.filter(f"NOT ({bindings.EXT.replace('{p}', '')} <=> {bindings.SPARK_EXT})").isEmpty()
     assert bindings.SPARK_SENTENCE in bindings.SPARK_VIEWS["findings_flat"] and bindings.SPARK_EXT in bindings.SPARK_VIEWS["findings_flat"]
+
+
+def test_words_of_a_sentence_are_those_left_by_what_is_specific(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab zA9_./`,-é́ \n`_9.aZx   a") for _ in range(rng.randrange(40))) for _ in range(20_000)]
+    texts += ["", None, "a " * 5_000, "ab_c a.b 9,9 " * 500, "`" * 9, "word " * 40 + "end", "İndex ſ K a"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    plain = F.regexp_replace(F.lower("x"), dims.SPECIFICS, " ")
+    want = F.array_join(F.regexp_extract_all(plain, F.lit("([a-z]+)"), 1), " ")
+    assert rows.filter(~want.eqNullSafe(t.plain_words(F.col("x")))).isEmpty()
+
+
+DRAFTS = (
+    "case_id string, arm string, seed int, repo_id string, ord bigint, path string, line int, layer string, symbol string, mechanism string, "
+    "severity string, remediation string, arithmetic string, prediction struct<metric:string,comparator:string,value:double,upper:double,unit:string,condition:string>"
+)
+INDEXED = [("r0", "orders", "user_id"), ("r0", "bills", "user_id"), ("r1", "orders", "day"), (None, "orders", "user_id"), ("r1", None, "user_id")]
+
+
+def odd_drafts(spark):
+    """Sentences alike in few and many files, claims answered and not, keys that are null or come again beside other sentences."""
+    rng, rows = random.Random(9), []
+    said = [
+        "the `{}` handler calls another service while it holds the lock",
+        "one query per row is issued for {}_x by this very loop",
+        "filters orders and bills on user_id, a column with no index",
+        "filters orders on day without any index to help it",
+        "without an index the table orders is read whole",
+        "it is slow",
+        "",
+        None,
+    ]
+    for i in range(240):
+        text = rng.choice(said)
+        prediction = ("m", "at_least", rng.choice([-1.0, 5.0]), None, rng.choice(["ms", "", None]), "at peak load")
+        rows.append(
+            (
+                rng.choice("ab"), "x", 1, rng.choice(["r0", "r1", "r1", None]), rng.choice([i, i, i % 9, None]),
+                rng.choice([f"p{i % 7}", "p" * 4001, "p1", "", None]), i, rng.choice("kl"), rng.choice(["s", "s" * 500, None]),
+                text and text.format(i), rng.choice(["high", "medium", "low", None]), "", "", rng.choice([None, prediction]),
+            )
+        )
+    return spark.createDataFrame(rows, DRAFTS), spark.createDataFrame(INDEXED, "repo_id string, table string, column string")
+
+
+@pytest.mark.parametrize("limits", [{}, {"REPEAT_BITS": 2}, {"MOST_SENT": 0}])
+def test_marked_findings_leave_the_ledger_of_whole_ones(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(claims, name, value)
+    keys = ["case_id", "arm", "seed", "repo_id"]
+    drafts, indexed = odd_drafts(spark)
+    of = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    kept, rejected = gates.normalise_drafts(drafts, keys=keys)
+    kept, withdrawn = claims.withdraw_index_claims(kept, indexed)
+    told = claims.mark_repeats(kept)
+    dropped = told.filter("side = 'dropped'").select(*keys[:3], "path", "symbol", "reason")
+    marked = claims.mark_sentences(claims.mark_index_claims(gates.mark_dropped(drafts, keys=keys), indexed))
+    kept2, rejected2 = gates.normalise_drafts(marked, keys=keys)
+    kept2, withdrawn2 = claims.withdraw_index_claims(kept2, indexed)
+    kept2, dropped2 = claims.collapse_repeats(kept2)
+    assert of(rejected2) == of(rejected) and of(withdrawn2) == of(withdrawn) and of(dropped2) == of(dropped)
+    assert of(kept2) == of(told.filter("side = 'kept'").drop("side", "reason"))
+    assert rejected.count() > 20 and withdrawn.count() > 20 and dropped.count() > 20
